@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, sharding
+from . import decontaminate, line_dedup, piece_codec, sharding
 
 QUERIES = {
     "op4_line_dedup": line_dedup.query,
     "op5_sharding": sharding.query,
+    "op9_piece_codec": piece_codec.query,
+    "op10_decontaminate": decontaminate.query,
 }
 
 ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
+    "op10_decontaminate": decontaminate.ORACLE,
 }
