@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, piece_codec, sharding
+from . import chat, decontaminate, line_dedup, piece_codec, sharding
 
 QUERIES = {
+    "op1_chat_format": chat.query,
     "op4_line_dedup": line_dedup.query,
     "op5_sharding": sharding.query,
     "op9_piece_codec": piece_codec.query,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_chat_format": chat.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
