@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, piece_codec, sharding
+from . import chat, decontaminate, line_dedup, piece_codec, secrets, sharding
 
 QUERIES = {
     "op1_chat_format": chat.query,
     "op4_line_dedup": line_dedup.query,
     "op5_sharding": sharding.query,
+    "op8_secret_scan": secrets.query,
     "op9_piece_codec": piece_codec.query,
     "op10_decontaminate": decontaminate.query,
 }
 
 ORACLES = {
+    "op8_secret_scan": secrets.ORACLE,
     "op1_chat_format": chat.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
