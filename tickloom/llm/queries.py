@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, piece_codec, secrets, sharding
+from . import chat, decontaminate, line_dedup, piece_codec, quality, secrets, sharding
 
 QUERIES = {
     "op1_chat_format": chat.query,
     "op4_line_dedup": line_dedup.query,
     "op5_sharding": sharding.query,
+    "op6_quality_rules": quality.query,
     "op8_secret_scan": secrets.query,
     "op9_piece_codec": piece_codec.query,
     "op10_decontaminate": decontaminate.query,
 }
 
 ORACLES = {
+    "op6_quality_rules": quality.ORACLE,
     "op8_secret_scan": secrets.ORACLE,
     "op1_chat_format": chat.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
