@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, piece_codec, quality, secrets, sharding
+from . import chat, decontaminate, language_id, line_dedup, piece_codec, quality, secrets, sharding
 
 QUERIES = {
     "op1_chat_format": chat.query,
+    "op3_language_id": language_id.query,
     "op4_line_dedup": line_dedup.query,
     "op5_sharding": sharding.query,
     "op6_quality_rules": quality.query,
