@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import staged, table, text_or_empty
 
 #: Code points of a key, and documents that hold it, from which its lines go.
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -15,8 +15,10 @@ NO_ID = -(2**63)
 
 def line_key(line: Column) -> Column:
     """Stripped of white space at both ends, A-Z lower-cased."""
-    bare = F.regexp_replace(line, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+\\z", "")
-    return F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    bare = F.trim(line, F.lit(" \t\n\x0b\f\r"))
+    # lower() is the fast way, and right where no other letter has a lower case
+    other = bare.rlike("[[\\p{IsUppercase}\\p{Lt}]&&[^A-Z]]")
+    return F.when(other, F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(bare))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -32,7 +34,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     )
     # a line too short before stripping needs no key
     keys = rows.filter(F.length("line") >= min_chars).withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= min_chars)
-    keys = keys.select("id", "body", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(17), F.col("key")).alias("g"))
+    keys = staged(keys.select("id", "body", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(17), F.col("key")).alias("g")), "lines")
     # range-partitioned by hash and document, so that a frequent line spreads over many partitions
     ranged = keys.repartitionByRange("h", "g", "id").sortWithinPartitions("h", "g", "id", "pos")
     held = ranged.groupBy("h", "g", "id").agg(F.min("pos").alias("at"))  # a stream of first occurrences
