@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language_id, line_dedup, piece_codec, quality, secrets, sharding
+from . import chat, decontaminate, jaccard, language_id, line_dedup, piece_codec, quality, secrets, sharding
 
 QUERIES = {
     "op1_chat_format": chat.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.query,
     "op5_sharding": sharding.query,
     "op6_quality_rules": quality.query,
+    "op7_jaccard_join": jaccard.query,
     "op8_secret_scan": secrets.query,
     "op9_piece_codec": piece_codec.query,
     "op10_decontaminate": decontaminate.query,
