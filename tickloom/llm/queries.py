@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, language_id, line_dedup, piece_codec, quality, secrets, sharding
+from . import chat, decontaminate, jaccard, language_id, line_dedup, piece_codec, quality, secrets, sharding, suffix_dedup
 
 QUERIES = {
     "op1_chat_format": chat.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_language_id": language_id.query,
     "op4_line_dedup": line_dedup.query,
     "op5_sharding": sharding.query,
