@@ -107,7 +107,7 @@ _POWERS: dict = {}
 def _kept_powers(base: np.uint64, n: int) -> np.ndarray:
     have = _POWERS.get(int(base))
     if have is None or len(have) < n:
-        have = powers(base, max(n, 1 << 21))
+        have = powers(base, max(n, 1 << 20))
         _POWERS[int(base)] = have
     return have[:n]
 

@@ -25,7 +25,7 @@ from .common import _BASE, _INVERSE, _kept_powers, mixed, pieces, span_hashes, s
 
 LENGTH, SEED = 100, 32
 #: Blocks resolved at once, and blocks of one anchor beyond which its strings are dealt out one by one.
-AT_ONCE, CROWD = 20_000, 60_000
+AT_ONCE, CROWD = 4_000, 40_000
 #: Stands for a null doc_id.
 NO_ID = -(2**63)
 
@@ -74,7 +74,7 @@ def _find(length: int, seed: int):
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 1_000_000):
                 ids, keys = part.column(0).to_numpy(), part.column(1).to_numpy()
                 data, offsets = text_bytes(part.column(2))
                 anchor, block, row, start, at, end = blocks_of(data, offsets, length, seed)
@@ -145,7 +145,7 @@ _BYTES = T.StructType([T.StructField(x, T.LongType()) for x in ("anchor", "id",
 def _fetch(batches):
     """The bytes of the listed blocks of each text."""
     for batch in batches:
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", 1_000_000):
             name = part.schema.get_field_index
             data, offsets = text_bytes(part.column(name("text")))
             lists = part.column(name("blocks"))
@@ -322,7 +322,7 @@ def _resolve(length: int, at_once: int, crowd: int):
 def _apply(names: list[str], whole: bool):
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 1_000_000):
                 name = part.schema.get_field_index
                 data, offsets = text_bytes(part.column(name("text")))
                 raw = memoryview(data.tobytes())
