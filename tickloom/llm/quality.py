@@ -42,8 +42,8 @@ def _repeated(w: Column, s: Column, bits: Column) -> Column:
     return F.size(F.array_distinct(places)).cast("long")
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the two histograms."""
+def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the two histograms."""
     text = F.coalesce("text", F.lit(""))
     df = docs.withColumn("_t0", text)
     for k, pattern in enumerate(CLASSES):  # each class leaves less text for the next
@@ -64,7 +64,7 @@ def measured(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_counts", counts)
     total = F.aggregate("_counts", F.lit(0), lambda a, x: a + x)
     return df.select(
-        *docs.columns,
+        *columns,
         "n_words",
         (sizes[0] - F.get("classes", F.lit(1))).cast("long").alias("word_chars"),
         F.get("classes", F.lit(5)).cast("long").alias("n_symbols"),
@@ -88,8 +88,8 @@ HISTOGRAMS = {"classes": len(CLASSES) + 1, "common": len(EVERY) + 1}
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance"]
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """docs with ADDED columns: the counts, the two distances and whether the rules keep the row.
+def judge(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """docs, or the named columns of it (lang among them), with ADDED columns: the counts, the two distances and whether the rules keep the row.
 
     Histograms of all rows of a lang are its reference; a null lang is a lang of its own.
     A text too short for a histogram has no distance and is not rejected by it. A null or
@@ -97,7 +97,8 @@ def judge(docs: DataFrame) -> DataFrame:
     empty. Columns of docs with one of the new names are replaced.
     """
     own = docs.drop(*ADDED, *HISTOGRAMS)
-    rows = staged(measured(own), "quality")
+    columns = columns or own.columns
+    rows = staged(measured(own, columns), "quality")
     double = lambda x: F.transform(x, lambda v: v.cast("double"))
     sums = [F.sum(F.get(name, F.lit(k)).cast("double")).alias(f"{name}{k}") for name, n in HISTOGRAMS.items() for k in range(n)]
     reference = rows.groupBy("lang").agg(*sums)
@@ -113,7 +114,7 @@ def judge(docs: DataFrame) -> DataFrame:
         }
     )
     near = F.coalesce(F.col("class_distance") <= MAX_CLASSES, F.lit(True)) & F.coalesce(F.col("common_distance") <= MAX_COMMON, F.lit(True))
-    return joined.withColumn("kept", ~F.col("base_failed") & near).select(*own.columns, *ADDED)
+    return joined.withColumn("kept", ~F.col("base_failed") & near).select(*columns, *ADDED)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["doc_id", "lang"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
