@@ -232,3 +232,11 @@ def zig_zag(s: Stage, end_type: str, percent_change: float) -> Stage:
 
     schema = T.StructType([*s.df.schema.fields, *added])
     return Stage(s.df.groupBy(s.key).applyInArrow(run, schema), s.key, s.ts, s.x)
+
+
+@operator("BARPART", "Bar Part", TRANSFORM, [Param("candle_part", "close", kind="CandlePart")], outputs=["value"], value="value", needs="bars")
+def bar_part(s: Stage, candle_part: str) -> Stage:
+    """One price of each bar."""
+    from ..plans.series import part
+
+    return s.add(value=part(str(candle_part).replace("_", "")).cast("double"))
