@@ -38,10 +38,9 @@ class Live:
     _versions: list[str] = field(default_factory=list)
     _batches: int = 0
 
-    def _changes(self) -> DataFrame:
-        if not self._versions:
-            return self.spark.createDataFrame([], CHANGES)
-        return self.spark.read.schema(CHANGES).parquet(*self._versions)
+    def _changes(self, but: str | None = None) -> DataFrame:
+        versions = [v for v in self._versions if v != but]
+        return self.spark.read.schema(CHANGES).parquet(*versions) if versions else self.spark.createDataFrame([], CHANGES)
 
     def _bars(self, changes: DataFrame) -> DataFrame:
         """The bars that hold now: of each time the last change, unless it removes the bar."""
@@ -68,15 +67,15 @@ class Live:
         if "op" not in rows.columns:
             rows = rows.withColumn("op", F.lit("upsert"))
         added = rows.select("series_key", "ts", *(F.col(c).cast("double").alias(c) for c in OHLCV), "op", F.lit(batch).cast("long").alias("_batch"), F.monotonically_increasing_id().alias("_no"))
-        before = self._changes()
         version = f"{self.path}/batch-{batch}"
+        before = self._changes(but=version)
         added.write.mode("overwrite").parquet(version)  # a batch that comes again replaces itself
         if version not in self._versions:
             self._versions.append(version)
         self._batches = max(self._batches, batch + 1)
         after = self._changes()
         touched = self.spark.read.schema(CHANGES).parquet(version).select("series_key").distinct()
-        old = self.operate(Series(self._bars(before.filter(F.col("_batch") != batch).join(touched, "series_key", "left_semi")))).df
+        old = self.operate(Series(self._bars(before.join(touched, "series_key", "left_semi")))).df
         new = self.operate(Series(self._bars(after.join(touched, "series_key", "left_semi")))).df
         changed = new.exceptAll(old).withColumn("kind", F.lit("upsert"))
         gone = old.join(new, ["series_key", "ts"], "left_anti").withColumn("kind", F.lit("delete"))
