@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import over_batches, table
 from .template import compiled
 
 # The strings that steer a model, which no text may hold as they are.
@@ -147,7 +147,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
     its own. Roles other than user, system and assistant are written out. Other columns
     are not read; an empty table gives an empty result.
     """
-    return _in_order(turns).mapInArrow(lambda batches: _formatted(batches, template), "conv_id long, formatted string, trained array<struct<start: long, end: long>>")
+    return over_batches(_in_order(turns), lambda batches: _formatted(batches, template), "conv_id long, formatted string, trained array<struct<start: long, end: long>>")
 
 
 def conversation_digests(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
@@ -156,7 +156,7 @@ def conversation_digests(turns: DataFrame, template: str = TEMPLATE) -> DataFram
     Conversations are as in format_conversations. Each is rendered and read as a stream:
     a task holds a few turns, however long a conversation is.
     """
-    return _in_order(turns).mapInArrow(lambda batches: _digest(batches, template), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return over_batches(_in_order(turns), lambda batches: _digest(batches, template), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

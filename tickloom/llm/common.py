@@ -49,6 +49,18 @@ def dropped(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+#: Rows of a batch that goes to Python, so that batches of texts stay small.
+BATCH_ROWS = 2_000
+
+
+def over_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow() with batches of no more than BATCH_ROWS rows."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -77,7 +89,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch, column: str, most_bytes: int = 2_000_000):
+def pieces(batch, column: str, most_bytes: int = 1_000_000):
     """Slices of a record batch with about most_bytes of text each, a row at least."""
     at = batch.schema.get_field_index(column)
     rows = len(batch)

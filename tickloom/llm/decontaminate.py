@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, span_hashes, table, text_bytes, words_of
+from .common import over_batches, pieces, span_hashes, table, text_bytes, words_of
 
 WINDOW = 10
 #: Words of a suffix that decide whether it is of interest to any test item.
@@ -222,7 +222,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     for k in range(blocks):  # one, unless the test set is larger than block_bytes
         block = texts.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else texts
         shared = spark.sparkContext.broadcast([(r.i, r.t) for r in block.orderBy("i", "t").collect()])
-        docs = docs.mapInArrow(_searcher(names, shared, window, earlier=k > 0), schema)
+        docs = over_batches(docs, _searcher(names, shared, window, earlier=k > 0), schema)
     return docs
 
 

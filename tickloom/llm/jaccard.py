@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, mixed, pieces, span_hashes, staged, table, text_bytes, words_of
+from .common import mixed, over_batches, pieces, span_hashes, staged, table, text_bytes, words_of
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     other; an empty table gives an empty result. Other columns are not read.
     """
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    signed = staged(own.mapInArrow(_sign(shingle), "id long, key long, key2 long, bare boolean, n long, sig binary"), "signed")
+    signed = staged(over_batches(own, _sign(shingle), "id long, key long, key2 long, bare boolean, n long, sig binary"), "signed")
     # equal texts, by 128 bits of hash, are one from here on; those with no characters are apart
     full = signed.filter(~F.col("bare"))
     groups = staged(full.groupBy("key", "key2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "groups")
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     sizes = member.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block_docs)), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int").alias("parts"))
     wanted = member.join(sizes, "comp").select("comp", "parts", "cid", "copies", F.col("rep").alias("id"))
     texts = own.join(wanted.hint("shuffle_hash"), "id")
-    sets = texts.mapInArrow(_sets(shingle), "comp long, parts int, cid long, copies long, shingles binary")
+    sets = over_batches(texts, _sets(shingle), "comp long, parts int, cid long, copies long, shingles binary")
     block = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
     # a group of one part is one task's; in a larger one each document meets every block
     partners = F.when(F.col("parts") == 1, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))

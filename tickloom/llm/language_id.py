@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, pieces, span_hashes, table, text_bytes
+from .common import mixed, over_batches, pieces, span_hashes, table, text_bytes
 
 #: Rows of each language that the probabilities are learned from, those of the smallest hash, and rows in all.
 FIT_ROWS, FIT_ALL = 150, 20_000
@@ -22,7 +22,7 @@ ROUNDS, LONGEST = 3, 8
 #: Added to each piece's expected count, and the share of a character outside the vocabulary.
 SMOOTH, STRANGE = 0.05, 1e-7
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -313,7 +313,7 @@ def predict(docs: DataFrame, counts: list[tuple[str, str, int]], path: str) -> D
     if not counts:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(fit(path, counts))
-    return docs.mapInArrow(_predictor(docs.columns, shared, path), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return over_batches(docs, _predictor(docs.columns, shared, path), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def vocabulary() -> str:

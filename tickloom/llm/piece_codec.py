@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import pieces, span_hashes, table, text_bytes
+from .common import over_batches, pieces, span_hashes, table, text_bytes
 
 SPACE = 0x2581
 _NONE = np.int32(2**30)
 #: Symbols from here on are characters without a piece.
 _LOOSE = 1 << 21
 #: Segments that a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 class PieceModel:
@@ -244,7 +244,7 @@ def _coder(path: str, column: str, names: list[str], whole: bool):
     def run(batches):
         m = model(path)
         for batch in batches:
-            for part in pieces(batch, column):
+            for part in pieces(batch, column, 500_000):
                 data, offsets = text_bytes(part.column(part.schema.get_field_index(column)))
                 ids, cuts = m.encode(data, offsets)
                 flat, at = ids.tolist(), cuts.tolist()
@@ -278,7 +278,7 @@ def encode_decode(docs: DataFrame, path: str, whole: bool = True, text: str = "t
     added += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())] if whole else [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     added.append(T.StructField("agenda_agrees", T.BooleanType()))
     docs = docs.drop(*(f.name for f in added))
-    return docs.mapInArrow(_coder(path, text, docs.columns, whole), T.StructType([*docs.schema.fields, *added]))
+    return over_batches(docs, _coder(path, text, docs.columns, whole), T.StructType([*docs.schema.fields, *added]))
 
 
 def vocabulary() -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BASE, _INVERSE, _kept_powers, mixed, pieces, span_hashes, staged, table, text_bytes
+from .common import _BASE, _INVERSE, _kept_powers, mixed, over_batches, pieces, span_hashes, staged, table, text_bytes
 
 LENGTH, SEED = 100, 32
 #: Blocks resolved at once, and blocks of one anchor beyond which its strings are dealt out one by one.
@@ -380,14 +380,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole: bool = True, se
     own = keyed.select(F.col("_i").alias("id"), F.col("_k").alias("key"), "text")
     if not own.groupBy("id", "key").count().filter("count > 1").isEmpty():
         own = own.dropDuplicates(["id", "key"])  # equal rows: one stands for all
-    found = own.mapInArrow(_find(length, seed), _FOUND)
+    found = over_batches(own, _find(length, seed), _FOUND)
     ordered = found.repartition("anchor").sortWithinPartitions("anchor", "block", "id", "key", "start")
-    settled = staged(ordered.mapInArrow(_settle, _FOUND), "blocks")
+    settled = staged(over_batches(ordered, _settle, _FOUND), "blocks")
     gone = settled.filter("gone").select("id", "key", F.col("start").alias("first"), (F.col("start") + F.col("size") - 1).alias("last"))
 
     listed = settled.filter(~F.col("gone")).groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "start", "left", "size")).alias("blocks"))
-    texts = own.join(listed.hint("shuffle_hash"), ["id", "key"]).mapInArrow(_fetch, _BYTES)
-    resolved = staged(texts.repartition("anchor").sortWithinPartitions("anchor", "id", "key", "start").mapInArrow(_resolve(length, at_once, crowd), _OUT), "runs")
+    texts = over_batches(own.join(listed.hint("shuffle_hash"), ["id", "key"]), _fetch, _BYTES)
+    by_anchor = texts.repartition("anchor").sortWithinPartitions("anchor", "id", "key", "start")
+    resolved = staged(over_batches(by_anchor, _resolve(length, at_once, crowd), _OUT), "runs")
     gone = gone.union(resolved.filter(F.col("h").isNull()).select("id", "key", "first", "last"))
     single = resolved.filter(F.col("h").isNotNull())
     if not single.isEmpty():
@@ -397,7 +398,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole: bool = True, se
 
     lists = gone.groupBy("id", "key").agg(F.collect_list(F.struct("first", "last")).alias("_gone")).withColumnsRenamed({"id": "_id", "key": "_key"})
     joined = keyed.join(lists.hint("shuffle_hash"), (F.col("_i") == F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
-    return joined.select(*docs.columns, "_gone").mapInArrow(_apply(docs.columns, whole), T.StructType([*docs.schema.fields, *added]))
+    return over_batches(joined.select(*docs.columns, "_gone"), _apply(docs.columns, whole), T.StructType([*docs.schema.fields, *added]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
