@@ -39,6 +39,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     ranged = keys.repartitionByRange("h", "g", "id").sortWithinPartitions("h", "g", "id", "pos")
     held = ranged.groupBy("h", "g", "id").agg(F.min("pos").alias("at"))  # a stream of first occurrences
     shared = held.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs).select("h", "g", "keeper")
+    # as a table of its own, so that Spark can split a frequent line's rows over several tasks of the join
+    shared = staged(shared, "shared-lines")
     lost = ranged.join(shared, ["h", "g"]).filter(F.col("id") != F.col("keeper"))
     byte_of = lost.groupBy("id", "body").agg(F.sort_array(F.collect_set("pos")).alias("p"))
     first = F.filter("p", lambda x, i: (i == 0) | (F.get(F.col("p"), i - 1) != x - 1))
