@@ -2,7 +2,8 @@
 
 Each function here returns a fresh step(i, *inputs) that takes the rows of one series in
 order, i being the row number, and returns a tuple. A missing number is NaN. The same
-steps serve whole tables and single new rows.
+steps serve whole tables and single new rows. Linear rules also have step.many(i, *arrays),
+which takes many rows at once and leaves the same state behind.
 """
 
 from __future__ import annotations
@@ -11,9 +12,42 @@ import math
 from collections import deque
 from collections.abc import Callable
 
+import numpy as np
+
 NAN = float("nan")
 Step = Callable[..., tuple]
 
+#: Rows that one matrix product covers.
+BLOCK = 64
+_DECAYS: dict[float, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def scan(x: np.ndarray, keep: float, take: float, last: float) -> np.ndarray:
+    """y[t] = keep * y[t-1] + take * x[t], from y[-1] = last on: blocks of rows as matrix products, linked one by one."""
+    n = len(x)
+    if keep not in _DECAYS:
+        away = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None, :]
+        _DECAYS[keep] = (np.where(away >= 0, keep ** np.maximum(away, 0), 0.0), keep ** np.arange(1, BLOCK + 1))
+    inside, decay = _DECAYS[keep]
+    rows = -(-n // BLOCK)
+    padded = np.zeros(rows * BLOCK)
+    padded[:n] = x
+    out = take * (padded.reshape(rows, BLOCK) @ inside.T)
+    carry, ends, fall = np.empty(rows), out[:, -1].tolist(), float(decay[-1])
+    for k in range(rows):
+        carry[k] = last
+        last = ends[k] + fall * last
+    return (out + carry[:, None] * decay[None, :]).ravel()[:n]
+
+
+def with_many(step: Step, many: Callable[..., tuple]) -> Step:
+    step.many = many  # type: ignore[attr-defined]
+    return step
+
+
+def changes(x: np.ndarray, last: float) -> np.ndarray:
+    return np.diff(x, prepend=last)
+
 
 class Recent:
     """The last n values."""
@@ -27,9 +61,8 @@ class Recent:
     def mean(self) -> float:
         return sum(self.values) / self.n if len(self.values) == self.n else NAN
 
-    def back(self, k: int) -> float:
-        """The value k rows ago."""
-        return self.values[-1 - k] if k < len(self.values) else NAN
+    def push_many(self, x: np.ndarray) -> None:
+        self.values.extend(x[-self.n :].tolist())
 
 
 class Smooth:
@@ -54,6 +87,22 @@ class Smooth:
             self.value += self.factor * (x - self.value)
         return self.value
 
+    def push_many(self, i: int, x: np.ndarray) -> np.ndarray:
+        """The same for the rows from i on; rows before the start, and any with missing values, go one by one."""
+        out = np.empty(len(x))
+        head = 0
+        while head < len(x) and self.value != self.value:
+            out[head] = self.push(i + head, float(x[head]))
+            head += 1
+        rest = x[head:]
+        if np.isnan(rest).any():
+            out[head:] = [self.push(i + head + k, v) for k, v in enumerate(rest.tolist())]
+        elif len(rest):
+            self.recent.push_many(rest)
+            out[head:] = scan(rest, 1 - self.factor, self.factor, self.value)
+            self.value = float(out[-1])
+        return out
+
 
 class Wilder(Smooth):
     """Smoothing with 1/n as the share of the new value."""
@@ -92,6 +141,27 @@ class Cascade:
                 self.e[j] = into = e + self.k * (into - e)
         return self.e
 
+    def push_many(self, i: int, x: np.ndarray) -> tuple[np.ndarray, int]:
+        """(stages, rows) and the row of a start among them, -1 if there is none or there are several."""
+        out = np.full((len(self.e), len(x)), NAN)
+        head, start = 0, -1
+        while head < len(x) and self.e[-1] != self.e[-1]:
+            e = self.push(i + head, float(x[head]))
+            if e:
+                out[:, head] = e
+                start = head if e[-1] == e[-1] else -1
+            head += 1
+        rest = x[head:]
+        if np.isnan(rest).any():
+            raise ValueError("missing values go one by one")
+        if len(rest):
+            self.recent.push_many(rest)
+            into = rest
+            for j, e in enumerate(self.e):
+                into = out[j, head:] = scan(into, 1 - self.k, self.k, e)
+                self.e[j] = float(into[-1])
+        return out, start
+
 
 def true_range(high: float, low: float, before: float) -> float:
     return max(high - low, abs(high - before), abs(low - before))
@@ -102,12 +172,12 @@ def true_range(high: float, low: float, before: float) -> float:
 
 def ema(n: int) -> Step:
     s = Smooth(n)
-    return lambda i, x: (s.push(i, x),)
+    return with_many(lambda i, x: (s.push(i, x),), lambda i, x: (s.push_many(i, x),))
 
 
 def smma(n: int) -> Step:
     s = Wilder(n)
-    return lambda i, x: (s.push(i, x),)
+    return with_many(lambda i, x: (s.push(i, x),), lambda i, x: (s.push_many(i, x),))
 
 
 def dema(n: int) -> Step:
@@ -117,7 +187,11 @@ def dema(n: int) -> Step:
         e = c.push(i, x)
         return (2 * e[0] - e[1],) if e else (NAN,)
 
-    return step
+    def many(i: int, x: np.ndarray) -> tuple:
+        e, _ = c.push_many(i, x)
+        return (2 * e[0] - e[1],)
+
+    return with_many(step, many)
 
 
 def tema(n: int) -> Step:
@@ -127,7 +201,11 @@ def tema(n: int) -> Step:
         e = c.push(i, x)
         return (3 * e[0] - 3 * e[1] + e[2],) if e else (NAN,)
 
-    return step
+    def many(i: int, x: np.ndarray) -> tuple:
+        e, _ = c.push_many(i, x)
+        return (3 * e[0] - 3 * e[1] + e[2],)
+
+    return with_many(step, many)
 
 
 def trix(n: int) -> Step:
@@ -327,10 +405,30 @@ class Rsi:
                 return 100.0
         return 100 - 100 / (1 + self.gain / self.loss)
 
+    def push_many(self, i: int, x: np.ndarray) -> np.ndarray:
+        out = np.empty(len(x))
+        head = 0
+        while head < len(x) and not (self.gain == self.gain and self.loss == self.loss and self.last == self.last):
+            out[head] = self.push(i + head, float(x[head]))
+            head += 1
+        rest = x[head:]
+        if np.isnan(rest).any():
+            out[head:] = [self.push(i + head + k, v) for k, v in enumerate(rest.tolist())]
+        elif len(rest):
+            change = changes(rest, self.last)
+            up, down = np.maximum(change, 0.0), np.maximum(-change, 0.0)
+            self.gains.push_many(up)
+            self.losses.push_many(down)
+            gain, loss = (scan(v, 1 - 1 / self.n, 1 / self.n, last) for v, last in ((up, self.gain), (down, self.loss)))
+            self.gain, self.loss, self.last = float(gain[-1]), float(loss[-1]), float(rest[-1])
+            with np.errstate(all="ignore"):
+                out[head:] = np.where(loss > 0, 100 - 100 / (1 + gain / loss), 100.0)
+        return out
+
 
 def rsi(n: int) -> Step:
     r = Rsi(n)
-    return lambda i, x: (r.push(i, x),)
+    return with_many(lambda i, x: (r.push(i, x),), lambda i, x: (r.push_many(i, x),))
 
 
 def connors_rsi(rsi_periods: int, streak_periods: int, rank_periods: int) -> Step:
@@ -381,7 +479,13 @@ def macd(fast: int, slow: int, signal: int) -> Step:
         g = line.push(i, m)
         return m, g, m - g, a, b
 
-    return step
+    def many(i: int, x: np.ndarray) -> tuple:
+        a, b = f.push_many(i, x), s.push_many(i, x)
+        m = a - b
+        g = m if line is None else line.push_many(i, m)
+        return m, g, m - g, a, b
+
+    return with_many(step, many)
 
 
 def pvo(fast: int, slow: int, signal: int) -> Step:
@@ -430,7 +534,15 @@ def tsi(lookback: int, smooth: int, signal: int) -> Step:
             return t, line.push(i, t)
         return t, t if signal == 1 else NAN
 
-    return step
+    def many(i: int, x: np.ndarray) -> tuple:
+        change = changes(x, state[0])
+        state[0] = float(x[-1])
+        c, a = c2.push_many(i, c1.push_many(i, change)), a2.push_many(i, a1.push_many(i, np.abs(change)))
+        with np.errstate(all="ignore"):
+            t = np.where(a != 0, 100 * (c / a), NAN)
+        return t, line.push_many(i, t) if line else t if signal == 1 else np.full(len(x), NAN)
+
+    return with_many(step, many)
 
 
 class Plain:
@@ -524,6 +636,15 @@ class Atr:
         t = true_range(high, low, before)
         return t, self.smooth.push(i, t)
 
+    def push_many(self, i: int, high: np.ndarray, low: np.ndarray, close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        before = np.concatenate(([self.close], close[:-1]))
+        self.close = float(close[-1])
+        t = np.maximum(high - low, np.maximum(np.abs(high - before), np.abs(low - before)))
+        if i:
+            return t, self.smooth.push_many(i, t)
+        t[0] = NAN  # nothing comes before row 0
+        return t, np.concatenate(([NAN], self.smooth.push_many(1, t[1:])))
+
 
 def atr(n: int) -> Step:
     a = Atr(n)
@@ -532,7 +653,12 @@ def atr(n: int) -> Step:
         t, value = a.push(i, high, low, close)
         return t, value, value / close * 100 if close else NAN
 
-    return step
+    def many(i: int, high: np.ndarray, low: np.ndarray, close: np.ndarray) -> tuple:
+        t, value = a.push_many(i, high, low, close)
+        with np.errstate(all="ignore"):
+            return t, value, np.where(close != 0, value / close * 100, NAN)
+
+    return with_many(step, many)
 
 
 def adx(n: int) -> Step:
@@ -716,7 +842,12 @@ def force_index(n: int) -> Step:
         last, state[0] = state[0], close
         return (s.push(i, volume * (close - last)),)
 
-    return step
+    def many(i: int, close: np.ndarray, volume: np.ndarray) -> tuple:
+        change = changes(close, state[0])
+        state[0] = float(close[-1])
+        return (s.push_many(i, volume * change),)
+
+    return with_many(step, many)
 
 
 def kvo(fast: int, slow: int, signal: int) -> Step:
@@ -756,7 +887,11 @@ def averages(fast: int, slow: int) -> Step:
         a, b = f.push(i, x), s.push(i, x)
         return a - b, a, b
 
-    return step
+    def many(i: int, x: np.ndarray) -> tuple:
+        a, b = f.push_many(i, x), s.push_many(i, x)
+        return a - b, a, b
+
+    return with_many(step, many)
 
 
 # ---------------------------------------------------------------- streaks of a whole window

@@ -229,7 +229,7 @@ def roc_wb(s: Stage, lookback_periods: int, ema_periods: int, std_dev_periods: i
 
 def _late_ema(n: int) -> K.Step:
     smooth = K.Smooth(n, first=n)
-    return lambda i, x: (smooth.push(i, x),)
+    return K.with_many(lambda i, x: (smooth.push(i, x),), lambda i, x: (smooth.push_many(i, x),))
 
 
 @operator("VORTEX", "Vortex Indicator", CATEGORY, [periods(14, 2, 100)], outputs=["pvi", "nvi"], value=None, needs="bars", check=at_least(2))

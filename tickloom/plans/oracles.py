@@ -9,6 +9,8 @@ from ..operators.moving_averages import alma_weights, wma_weights
 
 #: Places that results are compared to, and what keeps exact halves away from the edge of rounding.
 DIGITS, NUDGE = 6, "2.34e-7"
+#: The same for prices in thousands.
+ITEM_DIGITS = 3
 
 TICKS = """ticks AS MATERIALIZED (SELECT event_type AS series_key, ts, event_id, value AS price, (1 + event_id % 100)::DOUBLE AS volume FROM events)"""
 BARS = f"""{TICKS},
@@ -96,8 +98,8 @@ class Query:
     def atr(self, n: int) -> Query:
         return self.let(pc=lag("close")).let(tr="CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END").smooth("atr", "tr", n, first=n, wilder=True)
 
-    def give(self, _plain: tuple[str, ...] = (), **outputs: str) -> str:
-        columns = ", ".join(f"{e} AS {c}" if c in _plain else f"round({e} + {NUDGE}, {DIGITS}) + 0.0 AS {c}" for c, e in outputs.items())
+    def give(self, _plain: tuple[str, ...] = (), _digits: int = DIGITS, **outputs: str) -> str:
+        columns = ", ".join(f"{e} AS {c}" if c in _plain else f"round({e} + {NUDGE}, {_digits}) + 0.0 AS {c}" for c, e in outputs.items())
         return f"WITH RECURSIVE {', '.join(self.parts)} SELECT series_key, ts, {columns} FROM {self.t}"
 
 
@@ -150,9 +152,9 @@ def pairs() -> str:
 p AS MATERIALIZED (SELECT 'click' AS series_key, x.ts, x.close AS a, y.close AS b, row_number() OVER (ORDER BY x.ts) - 1 AS i FROM bars x JOIN bars y ON x.ts = y.ts AND x.series_key = 'click' AND y.series_key = 'view')"""
 
 
-def stop_bands(by: str, n: int, m: float) -> Query:
+def stop_bands(by: str, n: int, m: float, query: Query | None = None) -> Query:
     """Bands that tighten, and the side of the price; by: middle of both bands."""
-    query = q().atr(n).let(top=f"{by} + {m} * atr", bottom=f"{by} - {m} * atr")
+    query = (query or q()).atr(n).let(top=f"{by} + {m} * atr", bottom=f"{by} - {m} * atr")
     return query.fold(
         up=("NULL", f"CASE WHEN s.i < {n} THEN NULL WHEN r.up IS NULL OR s.top < r.up OR s.pc > r.up THEN s.top ELSE r.up END"),
         down=("NULL", f"CASE WHEN s.i < {n} THEN NULL WHEN r.down IS NULL OR s.bottom > r.down OR s.pc < r.down THEN s.bottom ELSE r.down END"),
@@ -343,4 +345,10 @@ SELECT series_key, ts, coalesce(open, c) AS open, coalesce(high, c) AS high, coa
     o["duplicate_times"] = "SELECT event_type AS series_key, date_trunc('minute', ts) AS ts, count(*) AS rows FROM events GROUP BY 1, date_trunc('minute', ts) HAVING count(*) > 1"
     o["daily_items_macd"] = Query("""d AS MATERIALIZED (SELECT l_returnflag AS series_key, l_shipdate AS ts, arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber)) AS close FROM lineitem GROUP BY ALL),
 b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY ts) - 1 AS i FROM d)""").smooth("f1", "close", 12).smooth("f2", "close", 26).let(m="f1 - f2").smooth("g", "m", 9, first=33).give(macd="m", signal="g", histogram="m - g", fast_ema="f1", slow_ema="f2")
+    items = """b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY ts) - 1 AS i, (high + low) / 2 AS hl2 FROM
+(SELECT l_suppkey AS series_key, l_shipdate + to_microseconds(l_orderkey * 8 + l_linenumber) AS ts, l_extendedprice / l_quantity AS close, l_extendedprice / l_quantity * (1 + l_tax) AS high, l_extendedprice / l_quantity * (1 - l_discount) AS low FROM lineitem))"""
+    m = rsi(Query(items).smooth("e", "close", 20), "z", "close", 14).atr(14).smooth("f1", "close", 12).smooth("f2", "close", 26).let(m="f1 - f2").smooth("g", "m", 9, first=33).let(m20=mean("close", 20))
+    o["items_several"] = m.give(_digits=ITEM_DIGITS, sma_sma="m20", ema_ema="e", rsi_rsi="z", atr_tr="tr", atr_atr="atr", atr_atrp=f"100 * {ratio('atr', 'close')}", macd_macd="m", macd_signal="g", macd_histogram="m - g", macd_fast_ema="f1", macd_slow_ema="f2")
+    s = stop_bands("hl2", 10, 3.0, Query(items))
+    o["items_super_trend"] = s.give(_digits=ITEM_DIGITS, super_trend="CASE WHEN bull THEN down ELSE up END", upper_band="CASE WHEN NOT bull THEN up END", lower_band="CASE WHEN bull THEN down END")
     return o

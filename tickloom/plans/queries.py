@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import bars as B
-from .oracles import DIGITS, NUDGE
+from .oracles import DIGITS, ITEM_DIGITS, NUDGE
 from .series import PARTS, Series, pair
 
 #: Query name -> (operator, parameters).
@@ -48,8 +48,22 @@ def daily_items(spark: SparkSession, sf_dir: str) -> Series:
     return B.ticks_to_bars(ticks, "1d", order=["l_orderkey", "l_linenumber"])
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*((F.round(F.col(f.name) + float(NUDGE), DIGITS) + 0.0).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields))
+def item_prices(spark: SparkSession, sf_dir: str) -> Series:
+    """Each line item as a bar of its supplier: many series, no resampling."""
+    e = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    # order and line make times of one day different
+    at = F.expr("l_shipdate + make_dt_interval(0, 0, 0, (l_orderkey * 8 + l_linenumber) / 1000000)")
+    return Series(e.select(F.col("l_suppkey").alias("series_key"), at.alias("ts"), price.alias("open"), (price * (1 + F.col("l_tax"))).alias("high"), (price * (1 - F.col("l_discount"))).alias("low"), price.alias("close"), F.col("l_quantity").alias("volume")))
+
+
+def items_several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = {"sma": ("SMA", {"lookback_periods": 20}), "ema": ("EMA", {"lookback_periods": 20}), "rsi": ("RSI", {}), "atr": ("ATR", {}), "macd": ("MACD", {})}
+    return rounded(item_prices(spark, sf_dir).indicators(wanted), ITEM_DIGITS)
+
+
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    return df.select(*((F.round(F.col(f.name) + float(NUDGE), digits) + 0.0).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields))
 
 
 def _call(id: str, params: dict[str, Any]) -> Callable[[SparkSession, str], DataFrame]:
@@ -93,6 +107,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "settled": _of(lambda b: rounded(b.ema(20).drop_warmup().df)),
         "latest": _of(lambda b: rounded(b.sma(20).latest())),
         "duplicate_times": lambda spark, d: B.problems(Series(events(spark, d).withColumn("ts", F.date_trunc("minute", "ts").cast("timestamp_ntz")))),
+        "items_several": items_several,
+        "items_super_trend": lambda spark, d: rounded(item_prices(spark, d).supertrend().df, ITEM_DIGITS),
         "daily_items_macd": lambda spark, d: rounded(daily_items(spark, d).macd().df),
     }
     return out

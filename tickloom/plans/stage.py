@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,14 +116,13 @@ def numbered(df: DataFrame, key: str = "series_key", ts: str = "ts") -> DataFram
     return df.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(ts)) - 1)
 
 
-def _step_rows(folds: tuple[Fold, ...], steps: list, inputs: dict[str, list], first: int, n: int) -> list[list]:
-    """Outputs of all folds as lists, for n rows from row `first` of one series on."""
-    out: list[list] = []
-    for fold, step in zip(folds, steps, strict=True):
-        columns = [inputs[name] for name in fold.inputs]
-        made = [step(first + k, *row) for k, row in enumerate(zip(*columns, strict=True))] if columns else [step(first + k) for k in range(n)]
-        out += [list(x) for x in zip(*made, strict=True)] if made else [[] for _ in fold.outputs]
-    return out
+def _run(step: Callable, arrays: list[np.ndarray], first: int, n: int) -> list:
+    """Outputs of one kernel for n rows of a series from row `first` on, as arrays or lists."""
+    many = getattr(step, "many", None)
+    if many and n > 1 and not any(np.isnan(x).any() for x in arrays):
+        return list(many(first, *arrays))
+    made = [step(first + k, *row) for k, row in enumerate(zip(*(x.tolist() for x in arrays), strict=True))]
+    return [list(x) for x in zip(*made, strict=True)]
 
 
 def run_folds(df: DataFrame, key: str, folds: tuple[Fold, ...]) -> DataFrame:
@@ -134,8 +134,6 @@ def run_folds(df: DataFrame, key: str, folds: tuple[Fold, ...]) -> DataFrame:
     names = df.columns
     wanted = sorted({x for f in folds for x in f.inputs})
     outputs = [x for f in folds for x in f.outputs]
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    numeric = {x for x in wanted if not isinstance(kinds[x], (T.TimestampNTZType, T.TimestampType, T.StringType))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = [f.make() for f in folds]
@@ -148,13 +146,11 @@ def run_folds(df: DataFrame, key: str, folds: tuple[Fold, ...]) -> DataFrame:
             numbers = batch.column(at("_i"))
             if numbers[0].as_py() != expected or numbers[n - 1].as_py() != expected + n - 1:
                 raise ValueError("rows of a series are out of order")
-            inputs = {}
-            for name in wanted:
-                values = batch.column(at(name)).to_pylist()
-                inputs[name] = [NAN if x is None else float(x) for x in values] if name in numeric else values
-            made = _step_rows(folds, steps, inputs, expected, n)
+            # a missing number is NaN to a kernel
+            inputs = {x: batch.column(at(x)).cast(pa.float64()).to_numpy(zero_copy_only=False) for x in wanted}
+            made = [y for f, s in zip(folds, steps, strict=True) for y in _run(s, [inputs[x] for x in f.inputs], expected, n)]
             expected += n
-            columns = [pa.array([None if x is None or x != x else x for x in c], _TYPES[k][1]) for c, (_, k) in zip(made, outputs, strict=True)]
+            columns = [pa.array(c, pa.float64(), from_pandas=True) if k == "double" else pa.array([None if x is None or x != x else x for x in c], _TYPES[k][1]) for c, (_, k) in zip(made, outputs, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, *(x for x, _ in outputs)])
 
     schema = T.StructType([*df.schema.fields, *(T.StructField(x, _TYPES[k][0]) for x, k in outputs)])
