@@ -213,3 +213,10 @@ def test_filters_keep_columns(docs, spark, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     for made in (quality.keep_good(docs), jaccard.keep_one(docs), decontaminate.decontaminate(docs, bench)):
         assert made.columns == docs.columns and made.count() < docs.count()
+
+
+def test_quality_with_more_languages_than_go_to_all_tasks(spark, sf_dir, monkeypatch):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    one = {r.doc_id: tuple(r) for r in quality.judge(table).collect()}
+    monkeypatch.setattr(quality, "BROADCAST_LANGUAGES", 1)
+    assert {r.doc_id: tuple(r) for r in quality.judge(table).collect()} == one

@@ -84,6 +84,22 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total(terms), F.lit(0.0)) / 2)
 
 
+#: Languages, those with the most rows, whose references go to all tasks.
+BROADCAST_LANGUAGES = 1_000
+
+
+def _with_reference(rows: DataFrame, reference: DataFrame) -> DataFrame:
+    """rows with their language's reference, without dealing texts out by language: a few hold most of them."""
+    same = lambda: F.col("lang").eqNullSafe(F.col("_lang"))
+    frequent = reference.orderBy(F.col("_rows").desc(), F.col("_lang")).limit(BROADCAST_LANGUAGES)
+    if reference.count() <= BROADCAST_LANGUAGES:
+        return rows.join(F.broadcast(frequent), same())
+    names = frequent.select(F.col("_lang").alias("_frequent"))
+    others = reference.join(F.broadcast(names), F.col("_lang").eqNullSafe(F.col("_frequent")), "left_anti")
+    rare = rows.join(F.broadcast(names), F.col("lang").eqNullSafe(F.col("_frequent")), "left_anti")
+    return rows.join(F.broadcast(frequent), same()).unionByName(rare.join(others, same()))
+
+
 HISTOGRAMS = {"classes": len(CLASSES) + 1, "common": len(EVERY) + 1}
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance"]
 
@@ -101,10 +117,10 @@ def judge(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     rows = staged(measured(own, columns), "quality")
     double = lambda x: F.transform(x, lambda v: v.cast("double"))
     sums = [F.sum(F.get(name, F.lit(k)).cast("double")).alias(f"{name}{k}") for name, n in HISTOGRAMS.items() for k in range(n)]
-    reference = rows.groupBy("lang").agg(*sums)
+    reference = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"), *sums)
     # of a known language the list is shorter: what was never there is no part of it
-    reference = reference.select(F.col("lang").alias("_lang"), *(F.filter(F.array(*(F.col(f"{name}{k}") for k in range(n))), lambda x: x.isNotNull()).alias(f"_{name}") for name, n in HISTOGRAMS.items()))
-    joined = rows.join(reference, F.col("lang").eqNullSafe(F.col("_lang")))
+    reference = reference.select(F.col("lang").alias("_lang"), "_rows", *(F.filter(F.array(*(F.col(f"{name}{k}") for k in range(n))), lambda x: x.isNotNull()).alias(f"_{name}") for name, n in HISTOGRAMS.items()))
+    joined = _with_reference(rows, staged(reference, "languages"))
     far = {name: distance(double(F.col(name)), F.col(f"_{name}")) for name in HISTOGRAMS}
     joined = joined.withColumns(
         {
