@@ -220,7 +220,18 @@ def trix(n: int) -> Step:
             return NAN, NAN
         return e[2], 100 * (e[2] - before) / before if before else NAN
 
-    return step
+    def many(i: int, x: np.ndarray) -> tuple:
+        last = c.e[2]
+        e, start = c.push_many(i, x)
+        before = np.concatenate(([last], e[2][:-1]))
+        with np.errstate(all="ignore"):
+            change = np.where(before != 0, 100 * (e[2] - before) / before, NAN)
+        third = e[2]
+        if start >= 0:
+            third[start] = NAN
+        return third, change
+
+    return with_many(step, many)
 
 
 def t3(n: int, volume_factor: float) -> Step:
@@ -237,7 +248,17 @@ def t3(n: int, volume_factor: float) -> Step:
                 e[j] = into = e[j] + k * (into - e[j])
         return (weights[0] * e[5] + weights[1] * e[4] + weights[2] * e[3] + weights[3] * e[2],)
 
-    return step
+    def many(i: int, x: np.ndarray) -> tuple:
+        if e[5] != e[5]:
+            e[:] = [float(x[0])] * 6
+        into, stages = x, []
+        for j in range(6):
+            into = scan(into, 1 - k, k, e[j])
+            e[j] = float(into[-1])
+            stages.append(into)
+        return (weights[0] * stages[5] + weights[1] * stages[4] + weights[2] * stages[3] + weights[3] * stages[2],)
+
+    return with_many(step, many)
 
 
 def dynamic(n: int, k_factor: float) -> Step:
@@ -500,7 +521,14 @@ def pvo(fast: int, slow: int, signal: int) -> Step:
         g = line.push(i, m)
         return m, g, m - g
 
-    return step
+    def many(i: int, x: np.ndarray) -> tuple:
+        a, b = f.push_many(i, x), s.push_many(i, x)
+        with np.errstate(all="ignore"):
+            m = np.where(b != 0, 100 * (a - b) / b, NAN)
+        g = m if line is None else line.push_many(i, m)
+        return m, g, m - g
+
+    return with_many(step, many)
 
 
 def pmo(time_periods: int, smooth_periods: int, signal_periods: int) -> Step:
@@ -516,7 +544,15 @@ def pmo(time_periods: int, smooth_periods: int, signal_periods: int) -> Step:
         b = second.push(i, a * 10)
         return b, signal.push(i, b)
 
-    return step
+    def many(i: int, x: np.ndarray) -> tuple:
+        before = np.concatenate(([state[0]], x[:-1]))
+        state[0] = float(x[-1])
+        with np.errstate(all="ignore"):
+            change = np.where(before != 0, 100 * (x / before - 1), NAN)
+        b = second.push_many(i, first.push_many(i, change) * 10)
+        return b, signal.push_many(i, b)
+
+    return with_many(step, many)
 
 
 def tsi(lookback: int, smooth: int, signal: int) -> Step:
@@ -911,32 +947,47 @@ def hurst_sets(n: int) -> list[tuple[int, int, float]]:
 
 
 def hurst(n: int) -> Step:
-    import numpy as np
-
     sets = hurst_sets(n)
     sizes = np.log10([s[1] for s in sets])
     spread = sizes - sizes.mean()
     values = Recent(n + 1)
 
-    def slope(y: np.ndarray) -> float:
-        return float((spread * (y - y.mean())).sum() / (spread**2).sum()) if len(sets) > 1 else NAN
+    def slope(y: np.ndarray) -> np.ndarray:
+        """Slopes over the sets, of rows (windows, sets)."""
+        return (y - y.mean(axis=1, keepdims=True)) @ spread / (spread**2).sum() if len(sets) > 1 else np.full(len(y), NAN)
+
+    def measure(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both exponents of windows of n + 1 values."""
+        with np.errstate(all="ignore"):
+            r = np.where((v[:, :-1] > 0) & (v[:, 1:] > 0), np.log(v[:, 1:] / v[:, :-1]), np.nan)
+            raw, corrected = [], []
+            for parts, size, extra in sets:
+                block = r[:, n - parts * size :].reshape(len(v), parts, size)
+                dev = block - block.mean(axis=2, keepdims=True)
+                run = dev.cumsum(axis=2)
+                s = np.sqrt((dev**2).mean(axis=2))
+                rs = np.where(s != 0, (run.max(axis=2) - run.min(axis=2)) / s, np.nan).mean(axis=1)
+                raw.append(np.where(rs > 0, np.log10(rs), np.nan))
+                corrected.append(np.where(rs + extra > 0, np.log10(rs + extra), np.nan))
+        return slope(np.stack(raw, axis=1)), slope(np.stack(corrected, axis=1))
 
     def step(i: int, x: float) -> tuple:
         values.push(x)
         if i < n:
             return NAN, NAN
-        v = np.array(values.values)
-        with np.errstate(all="ignore"):
-            r = np.where((v[:-1] > 0) & (v[1:] > 0), np.log(v[1:] / v[:-1]), np.nan)
-            raw, corrected = [], []
-            for parts, size, extra in sets:
-                block = r[n - parts * size :].reshape(parts, size)
-                dev = block - block.mean(axis=1, keepdims=True)
-                run = dev.cumsum(axis=1)
-                s = np.sqrt((dev**2).mean(axis=1))
-                rs = np.where(s != 0, (run.max(axis=1) - run.min(axis=1)) / s, np.nan).mean()
-                raw.append(np.log10(rs) if rs > 0 else np.nan)
-                corrected.append(np.log10(rs + extra) if rs + extra > 0 else np.nan)
-        return slope(np.array(raw)), slope(np.array(corrected))
+        raw, corrected = measure(np.array(values.values)[None, :])
+        return float(raw[0]), float(corrected[0])
 
-    return step
+    def many(i: int, x: np.ndarray) -> tuple:
+        whole = np.concatenate((np.array(values.values)[-n:], x)) if values.values else x
+        values.push_many(x)
+        out = np.full((2, len(x)), NAN)
+        if len(whole) > n:
+            windows = np.lib.stride_tricks.sliding_window_view(whole, n + 1)
+            for k in range(0, len(windows), 512):  # a few MB at a time
+                end = len(x) - len(windows) + k
+                made = measure(windows[k : k + 512])
+                out[:, end : end + len(made[0])] = made
+        return out[0], out[1]
+
+    return with_many(step, many)
