@@ -162,6 +162,67 @@ def stop_bands(by: str, n: int, m: float, query: Query | None = None) -> Query:
     )
 
 
+def hilbert() -> Query:
+    """Phase and period of hl2 as st, from row 6 on."""
+    f = lambda x: f"(0.0962 * {x}[7] + 0.5769 * {x}[5] - 0.5769 * {x}[3] - 0.0962 * {x}[1])"
+    zero = "[0, 0, 0, 0, 0, 0, 0]::DOUBLE[]"
+    start = "{" + f"'sm': {zero}, 'dt': {zero}, 'q1': {zero}, 'i1': {zero}, 'i2': 0::DOUBLE, 'q2': 0::DOUBLE, 're': 0::DOUBLE, 'im': 0::DOUBLE, 'pd': 0::DOUBLE" + "}"
+    steps = [
+        "0.075 * r.st.pd + 0.54 AS adj, list_append(r.st.sm[2:7], (4 * s.hl2 + 3 * s.p1 + 2 * s.p2 + s.p3) / 10) AS sm",
+        f"*, list_append(r.st.dt[2:7], {f('sm')} * adj) AS dt",
+        f"*, list_append(r.st.q1[2:7], {f('dt')} * adj) AS q1, list_append(r.st.i1[2:7], dt[4]) AS i1",
+        f"*, {f('i1')} * adj AS ji, {f('q1')} * adj AS jq",
+        "*, 0.2 * (i1[7] - jq) + 0.8 * r.st.i2 AS i2, 0.2 * (q1[7] + ji) + 0.8 * r.st.q2 AS q2",
+        "*, 0.2 * (i2 * r.st.i2 + q2 * r.st.q2) + 0.8 * r.st.re AS re, 0.2 * (i2 * r.st.q2 - q2 * r.st.i2) + 0.8 * r.st.im AS im",
+        "*, CASE WHEN im <> 0 AND re <> 0 THEN 2 * pi() / atan(im / re) ELSE 0 END AS w",
+        "*, greatest(least(greatest(least(w, 1.5 * r.st.pd), 0.67 * r.st.pd), 50), 6) AS v",
+    ]
+    inner = "SELECT 1 AS one"
+    for x in steps:
+        inner = f"SELECT {x} FROM ({inner})"
+    nxt = "SELECT {'sm': sm, 'dt': dt, 'q1': q1, 'i1': i1, 'i2': i2, 'q2': q2, 're': re, 'im': im, 'pd': 0.2 * v + 0.8 * r.st.pd} FROM (" + inner + ")"
+    kind = "STRUCT(sm DOUBLE[], dt DOUBLE[], q1 DOUBLE[], i1 DOUBLE[], i2 DOUBLE, q2 DOUBLE, re DOUBLE, im DOUBLE, pd DOUBLE)"
+    query = q().let(p1=lag("hl2"), p2=lag("hl2", 2), p3=lag("hl2", 3))
+    return query.fold(st=(start, f"CASE WHEN s.i <= 5 THEN r.st ELSE ({nxt}) END", kind))
+
+
+def bricks(query: Query, size: str, base: str) -> str:
+    """Renko bricks by close; size: of a brick in row s; base: the first edge, from row 0."""
+    kind = "STRUCT(o DOUBLE, c DOUBLE, h DOUBLE, l DOUBLE, v DOUBLE, n BIGINT, edge DOUBLE, bh DOUBLE, bl DOUBLE, bv DOUBLE)"
+    start = f"{{'o': {base}, 'c': {base}, 'h': NULL, 'l': NULL, 'v': 0, 'n': 0, 'edge': NULL, 'bh': NULL, 'bl': NULL, 'bv': NULL}}"
+    nxt = f"""SELECT {{'o': CASE WHEN n > 0 THEN top + (n - 1) * z WHEN n < 0 THEN bot + (n + 1) * z ELSE r.st.o END, 'c': CASE WHEN n > 0 THEN top + n * z WHEN n < 0 THEN bot + n * z ELSE r.st.c END,
+ 'h': CASE WHEN n = 0 THEN h END, 'l': CASE WHEN n = 0 THEN l END, 'v': CASE WHEN n = 0 THEN v ELSE 0 END, 'n': n, 'edge': CASE WHEN n > 0 THEN top ELSE bot END, 'bh': h, 'bl': l, 'bv': v}}
+FROM (SELECT *, CASE WHEN s.close > top THEN trunc(round((s.close - top) / z, 9)) WHEN s.close < bot THEN trunc(round((s.close - bot) / z, 9)) ELSE 0 END AS n
+FROM (SELECT {size} AS z, greatest(r.st.o, r.st.c) AS top, least(r.st.o, r.st.c) AS bot, greatest(coalesce(r.st.h, s.high), s.high) AS h, least(coalesce(r.st.l, s.low), s.low) AS l, r.st.v + s.volume AS v))"""
+    query.fold(st=(start, f"({nxt})", kind)).keep("st.n <> 0").let(k="unnest(range(abs(st.n)))")
+    z = size.replace("s.", "")
+    query.let(brick_no="row_number() OVER (PARTITION BY series_key ORDER BY i, k) - 1", o=f"st.edge + sign(st.n) * k * {z}")
+    return query.give(("brick_no", "is_up"), brick_no="brick_no", open="o", high="st.bh", low="st.bl", close=f"o + sign(st.n) * {z}", volume="st.bv / abs(st.n)", is_up="st.n > 0")
+
+
+def hurst_sql(n: int = 100) -> str:
+    from ..functions.kernels import hurst_sets
+
+    raw, corrected, sizes = [], [], []
+    for parts, size, extra in hurst_sets(n):
+        off = n - parts * size
+        chunk = f"f[{off + 1} + p * {size}:{off} + (p + 1) * {size}]"
+        run = f"list_transform(range(1, {size + 1}), lambda j: list_sum(({chunk})[1:j]) - j * list_avg({chunk}))"
+        rs = f"list_avg(list_transform(range({parts}), lambda p: (list_max({run}) - list_min({run})) / list_stddev_pop({chunk})))"
+        raw.append(rs)
+        corrected.append(extra)
+        sizes.append(size)
+    import math
+
+    x = [math.log10(k) for k in sizes]
+    spread = [v - sum(x) / len(x) for v in x]
+    total = sum(v * v for v in spread)
+    names = [f"r{k}" for k in range(len(raw))]
+    query = q().let(lr=f"ln(close / {lag('close')})").let(f=listed("lr", n)).let(**dict(zip(names, raw, strict=True)))
+    slope = lambda ys: "(" + " + ".join(f"{v!r} * {y}" for v, y in zip(spread, ys, strict=True)) + f") / {total!r}"
+    return query.give(hurst_exponent=slope([f"log10({r})" for r in names]), hurst_exponent_al=slope([f"log10({r} + {e!r})" for r, e in zip(names, corrected, strict=True)]))
+
+
 def oracles() -> dict[str, str]:
     o: dict[str, str] = {}
     # moving averages
@@ -326,6 +387,14 @@ def oracles() -> dict[str, str]:
     o["fisher_transform"] = fi.give(fisher="f", trigger=lag("f"))
     ha = q().let(c="(open + high + low + close) / 4").let(pc=lag("c")).fold(o=("(open + close) / 2", "(r.o + s.pc) / 2"))
     o["heikin_ashi"] = ha.give(ha_open="o", ha_high="greatest(high, o, c)", ha_low="least(low, o, c)", ha_close="c", ha_volume="volume")
+    h = hilbert().let(ph="CASE WHEN i > 5 AND st.i1[7] <> 0 THEN degrees(atan(st.q1[7] / st.i1[7])) ELSE 0 END").let(al=f"greatest(0.5 / greatest({lag('ph')} - ph, 1), 0.05)", m6=mean("hl2", 6))
+    h = h.fold(m=("NULL", "CASE WHEN s.i < 5 THEN NULL WHEN r.m IS NULL THEN s.m6 ELSE s.al * s.hl2 + (1 - s.al) * r.m END")).fold(f=("NULL", "CASE WHEN s.i < 5 THEN NULL WHEN r.f IS NULL THEN s.m6 ELSE 0.5 * s.al * s.m + (1 - 0.5 * s.al) * r.f END"))
+    o["mama"] = h.give(mama="m", fama="f")
+    h = hilbert().fold(sd=("0", "CASE WHEN s.i <= 5 THEN 0 ELSE 0.33 * s.st.pd + 0.67 * r.sd END")).let(dc="least(floor(sd + 0.5)::INT, i + 1)", pl=f"list(hl2) {last(64)}").let(it="CASE WHEN i <= 5 THEN 0 WHEN dc > 0 THEN list_avg(pl[-dc:]) ELSE hl2 END")
+    o["ht_trendline"] = h.give(("dc_periods",), dc_periods="CASE WHEN i > 5 AND dc > 0 THEN dc END", trendline=f"CASE WHEN i >= 11 THEN (4 * it + 3 * {lag('it')} + 2 * {lag('it', 2)} + {lag('it', 3)}) / 10 ELSE hl2 END", smooth_price="CASE WHEN i > 5 THEN st.sm[7] END")
+    o["hurst"] = hurst_sql()
+    o["renko"] = bricks(q(), "10", "round_even(close, 0)")
+    o["renko_atr"] = bricks(q().atr(14).let(z="last_value(atr) OVER (PARTITION BY series_key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"), "s.z", "close")
     # chains and preparation
     o["chain_hl2_ema_rsi"] = rsi(q().smooth("e", "hl2", 10), "a", "e", 14).give(rsi="a")
     m = q().smooth("e", "close", 20)
