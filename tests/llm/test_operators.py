@@ -81,7 +81,7 @@ def test_jaccard_join(spark, sf_dir):
 
 def test_jaccard_join_in_blocks(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = by_id(jaccard.near_duplicates(table, block_docs=2))
+    got = by_id(jaccard.near_duplicates(table, block_docs=2, node_docs=2))
     for i, (label, links) in brute.near(documents(spark, sf_dir)).items():
         assert (got[i].class_id, got[i].n_links) == (label, links), i
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mixed, over_batches, pieces, span_hashes, staged, table, text_bytes, words_of
@@ -23,7 +23,10 @@ HASHES, TREES, DEPTH = 128, 32, 8
 #: Share of pairs at the threshold that must meet in some trie.
 RECALL = 0.999999
 #: Documents, or shingles, of a group that one task counts; larger groups are dealt as pairs of blocks.
-BLOCK_DOCS, BLOCK_SHINGLES = 1_500, 3_000_000
+#: A group of n documents has the square root of n blocks at most, so that copies of rows stay in bounds.
+BLOCK_DOCS, BLOCK_SHINGLES = 250, 3_000_000
+#: Signatures of a trie node that one task compares; larger nodes are dealt in the same way.
+NODE_DOCS = 5_000
 #: Stands for a null doc_id.
 NO_ID = -(2**63)
 
@@ -205,7 +208,23 @@ def _verify(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def blocks_for(n: Column, most: int) -> Column:
+    """Blocks of a group of n rows, about `most` rows each, but the square root of n at most."""
+    return F.least(F.ceil(n / F.lit(most)), F.ceil(F.sqrt(n))).cast("int")
+
+
+def dealt_in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (cid, parts) with block, one and two: a group of one part is one task's (-1, -1); in a larger one each row meets every block."""
+    block = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
+    partners = F.when(F.col("parts") == 1, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    met = rows.withColumn("block", block).withColumn("with", F.explode(partners))
+    pair = {"one": F.least("block", "with"), "two": F.greatest("block", "with")}
+    return met.withColumns({k: F.when(F.col("with") < 0, F.lit(-1)).otherwise(c) for k, c in pair.items()})
+
+
+def near_duplicates(
+    docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES, node_docs: int = NODE_DOCS
+) -> DataFrame:
     """(doc_id, class_id, n_links) for each row of docs (doc_id, text).
 
     Two documents are linked if the Jaccard similarity of their sets of `shingle`-word
@@ -232,21 +251,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
             parts.append(F.expr(f"substring(sig, {width * ((t + 1) % TREES) + 1}, {2 * depth - width})"))
         nodes.append(F.xxhash64(F.lit(t), *parts))
     tries = one.select("cid", F.explode(F.array(*nodes)).alias("node")).repartition("node")
-    shared = tries.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("node")
-    met = tries.join(shared, "node").join(one.select("cid", "sig"), "cid")
-    edges = met.groupBy("node").applyInArrow(_bucket(least_estimate(similarity)), "a long, b long")
+    shared = tries.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met = tries.join(shared, "node").withColumn("parts", blocks_for(F.col("c"), node_docs)).join(one.select("cid", "sig"), "cid")
+    edges = dealt_in_blocks(met).select("node", "one", "two", "cid", "sig").groupBy("node", "one", "two").applyInArrow(_bucket(least_estimate(similarity)), "a long, b long")
     near = components(edges).withColumnsRenamed({"node": "cid", "label": "comp"})
 
     member = staged(near.join(one.select("cid", "rep", "copies", "n"), "cid"), "members")
-    sizes = member.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block_docs)), F.ceil(F.sum("n") / F.lit(block_shingles))).cast("int").alias("parts"))
+    by_shingles = F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int")
+    sizes = member.groupBy("comp").agg(F.greatest(blocks_for(F.count(F.lit(1)), block_docs), by_shingles).alias("parts"))
     wanted = member.join(sizes, "comp").select("comp", "parts", "cid", "copies", F.col("rep").alias("id"))
     texts = own.join(wanted.hint("shuffle_hash"), "id")
     sets = over_batches(texts, _sets(shingle), "comp long, parts int, cid long, copies long, shingles binary")
-    block = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
-    # a group of one part is one task's; in a larger one each document meets every block
-    partners = F.when(F.col("parts") == 1, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = sets.withColumn("block", block).withColumn("with", F.explode(partners))
-    dealt = dealt.withColumns({"one": F.when(F.col("with") < 0, F.lit(-1)).otherwise(F.least("block", "with")), "two": F.when(F.col("with") < 0, F.lit(-1)).otherwise(F.greatest("block", "with"))})
+    dealt = dealt_in_blocks(sets)
     checked = staged(dealt.select("comp", "one", "two", "cid", "copies", "block", "shingles").groupBy("comp", "one", "two").applyInArrow(_verify(similarity), "cid long, links long, label long, split boolean"), "checked")
     links = checked.groupBy("cid").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
     split = checked.filter("split")
