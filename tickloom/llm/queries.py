@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_jaccard_join": jaccard.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op8_secret_scan": secrets.ORACLE,
     "op1_chat_format": chat.ORACLE,
