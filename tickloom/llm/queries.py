@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_suffix_dedup": suffix_dedup.ORACLE,
     "op7_jaccard_join": jaccard.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op8_secret_scan": secrets.ORACLE,

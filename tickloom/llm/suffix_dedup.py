@@ -404,3 +404,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole: bool = True, se
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+ORACLE = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS MATERIALIZED (SELECT doc_id, s, md5_number(substr(x, 2 * s + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS s FROM d WHERE length(x) >= 200)),
+f AS MATERIALIZED (SELECT h, min((doc_id, s)) AS least FROM w GROUP BY h HAVING count(*) > 1),
+g AS MATERIALIZED (SELECT doc_id, s FROM w JOIN f USING (h) WHERE (doc_id, s) <> least),
+o AS MATERIALIZED (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS q FROM g),
+r AS (SELECT doc_id, sum(least(100, coalesce(q - s, 100))) AS n_removed, count(*) FILTER (WHERE p IS NULL OR s > p + 100) AS n_spans FROM o GROUP BY doc_id),
+a AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS k FROM o WHERE p IS NULL OR s > p + 100),
+z AS (SELECT doc_id, s + 100 AS e, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS k FROM o WHERE q IS NULL OR q > s + 100),
+-- what stays lies before each run, and after the last one
+k AS (SELECT a.doc_id, a.k, coalesce(y.e, 0) AS first, a.s AS last FROM a LEFT JOIN z y ON y.doc_id = a.doc_id AND y.k = a.k - 1
+      UNION ALL SELECT doc_id, max(k) + 1, max(e), 1000000000 FROM z GROUP BY doc_id),
+t AS (SELECT k.doc_id, string_agg(substr(x, 2 * first + 1, 2 * (last - first)), '' ORDER BY k) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
