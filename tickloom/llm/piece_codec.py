@@ -24,7 +24,7 @@ _NONE = np.int32(2**30)
 #: Symbols from here on are characters without a piece.
 _LOOSE = 1 << 21
 #: Segments that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 
 class PieceModel:
@@ -150,9 +150,9 @@ class PieceModel:
                 new = self._pair(symbols[r, c], symbols[r, c + 1])
                 made[r, c], ranks[r, c] = new, self._ranks(new)
 
-    def _remember(self, hashes: list[int], starts: np.ndarray, ends: np.ndarray, chars: np.ndarray) -> None:
+    def _remember(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, chars: np.ndarray) -> None:
+        """Encode segments and keep their ids under their hashes."""
         lengths = ends - starts
-        results: list = [None] * len(hashes)
         low = 0
         for high in (1, 4, 8, 12, 16, 24, 40, 64):
             which = np.flatnonzero((lengths > low) & (lengths <= high))
@@ -164,32 +164,38 @@ class PieceModel:
                 symbols = np.where(inside, self.char[chars[np.minimum(at, len(chars) - 1)]], -1).astype(np.int32)
                 if high > 1:
                     symbols = self.agendas(symbols)
-                sizes = (symbols >= 0).sum(axis=1)
-                flat = symbols[symbols >= 0]
-                cuts = np.concatenate(([0], np.cumsum(sizes)))
-                for k, i in enumerate(w.tolist()):
-                    results[i] = flat[cuts[k] : cuts[k + 1]]
+                made = symbols >= 0
+                self._keep(hashes[w], symbols[made], made.sum(axis=1))
         for i in np.flatnonzero(lengths > low).tolist():
-            results[i] = np.array(self.agenda(self.char[chars[starts[i] : ends[i]]].tolist()), np.int32)
-        for i, ids in enumerate(results):
-            if (ids >= _LOOSE).any():  # no piece: one id for each byte
-                out = []
-                for s in ids.tolist():
-                    out.extend(self.byte_ids[list(chr(s - _LOOSE).encode())].tolist() if s >= _LOOSE else [s])
-                results[i] = np.array(out, np.int32)
-        sizes = np.array([len(x) for x in results], np.int32)
-        total = int(sizes.sum())
+            ids = np.array(self.agenda(self.char[chars[starts[i] : ends[i]]].tolist()), np.int32)
+            self._keep(hashes[i : i + 1], ids, np.array([len(ids)]))
+
+    def _keep(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """ids: those of all segments, one after the other."""
+        loose = np.flatnonzero(ids >= _LOOSE)
+        if len(loose):  # no piece: one id for each byte
+            extra = [self.byte_ids[list(chr(s).encode())] for s in (ids[loose] - _LOOSE).tolist()]
+            owner = np.searchsorted(np.cumsum(sizes), loose, side="right")
+            repeat = np.ones(len(ids), np.int64)
+            repeat[loose] = [len(x) for x in extra]
+            sizes = sizes.copy()
+            np.add.at(sizes, owner, repeat[loose] - 1)
+            first = np.cumsum(repeat) - repeat
+            ids = np.repeat(ids, repeat)
+            for at, x in zip(first[loose].tolist(), extra, strict=True):
+                ids[at : at + len(x)] = x
+        n, total = len(hashes), len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while self.slots + len(results) > len(self.first):
+        while self.slots + n > len(self.first):
             self.first = np.concatenate((self.first, np.zeros_like(self.first)))
             self.size = np.concatenate((self.size, np.zeros_like(self.size)))
-        self.flat[self.used : self.used + total] = np.concatenate(results)
-        self.first[self.slots : self.slots + len(results)] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.slots : self.slots + len(results)] = sizes
-        self.slot_of.update(zip(hashes, range(self.slots, self.slots + len(results)), strict=True))
+        self.flat[self.used : self.used + total] = ids
+        self.first[self.slots : self.slots + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.slots : self.slots + n] = sizes
+        self.slot_of.update(zip(hashes.tolist(), range(self.slots, self.slots + n), strict=True))
         self.used += total
-        self.slots += len(results)
+        self.slots += n
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, without begin and end ids, and the n + 1 offsets of the rows."""
@@ -217,7 +223,7 @@ class PieceModel:
         new = [i for i, h in enumerate(keys) if h not in self.slot_of]
         if new:
             w = some[new]
-            self._remember([keys[i] for i in new], starts[w], ends[w], chars)
+            self._remember(unique[new], starts[w], ends[w], chars)
         slots = np.array([self.slot_of[h] for h in keys], np.int64)[inverse]
         sizes = self.size[slots].astype(np.int64)
         cuts = np.concatenate(([0], np.cumsum(sizes)))
@@ -247,17 +253,25 @@ def _coder(path: str, column: str, names: list[str], whole: bool):
             for part in pieces(batch, column, 500_000):
                 data, offsets = text_bytes(part.column(part.schema.get_field_index(column)))
                 ids, cuts = m.encode(data, offsets)
-                flat, at = ids.tolist(), cuts.tolist()
-                own = [[m.bos, *flat[a:b], m.eos] for a, b in zip(at, at[1:], strict=False)]
+                # begin and end ids around each row
+                ends = cuts[1:] + 2 * np.arange(1, len(cuts))
+                marked = np.empty(len(ids) + 2 * len(part), "<u4")
+                marked[ends - 1] = m.eos
+                marked[ends - np.diff(cuts) - 2] = m.bos
+                inside = np.ones(len(marked), bool)
+                inside[ends - 1] = inside[ends - np.diff(cuts) - 2] = False
+                marked[inside] = ids
+                flat, at = marked.tolist(), [0, *ends.tolist()]
+                own = [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
                 texts = [x or "" for x in part.column(part.schema.get_field_index(column)).to_pylist()]
                 checked = m.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
                 agrees = [x == y for x, y in zip(own, checked, strict=True)]
-                if not all(agrees):
-                    own = [x if ok else y for x, y, ok in zip(own, checked, agrees, strict=True)]
+                raw = [marked[a:b] for a, b in zip(at, at[1:], strict=False)]
+                for k in (k for k, ok in enumerate(agrees) if not ok):
+                    own[k], raw[k] = checked[k], np.array(checked[k], "<u4")
                 decoded = m.library.decode(own, num_threads=1)
-                raw = [np.array(x, "<u4") for x in own]
                 if whole:
-                    new = [pa.array(raw, pa.list_(pa.int32())) if not raw else pa.array([x.astype(np.int32) for x in raw], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    new = [pa.array([x.astype(np.int32) for x in raw], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 else:
                     new = [pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in raw], pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string())]
                 kept = [part.column(part.schema.get_field_index(x)) for x in names]
