@@ -395,6 +395,7 @@ def oracles() -> dict[str, str]:
     o["hurst"] = hurst_sql()
     o["renko"] = bricks(q(), "10", "round_even(close, 0)")
     o["renko_atr"] = bricks(q().atr(14).let(z="last_value(atr) OVER (PARTITION BY series_key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"), "s.z", "close")
+    o["bollinger_bands_in_parts"] = o["bollinger_bands"]
     # chains and preparation
     o["chain_hl2_ema_rsi"] = rsi(q().smooth("e", "hl2", 10), "a", "e", 14).give(rsi="a")
     m = q().smooth("e", "close", 20)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..sources import bars as B
 from .oracles import DIGITS, ITEM_DIGITS, NUDGE
 from .series import PARTS, Series, pair
+from .split import indicator_in_parts
 
 #: Query name -> (operator, parameters).
 CALLS: dict[str, tuple[str, dict[str, Any]]] = {
@@ -97,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "several": several,
         "chain_hl2_ema_rsi": _of(lambda b: rounded(b.use("hl2").ema(10).rsi(14).df)),
         "dynamic": _of(lambda b: rounded(b.sma(20).dynamic(14).df)),
+        "bollinger_bands_in_parts": _of(lambda b: rounded(indicator_in_parts(b, "BB", rows=200).df)),
         "bars_hour": _of(lambda b: b.df),
         "bars_week": _of(lambda b: B.resample(b, "1w").df),
         "bars_month": _of(lambda b: B.resample(b, "1mo").df),
