@@ -155,7 +155,6 @@ def test_chain_ends(bars):
 
 def test_use_and_price_choice(bars):
     assert column(bars.use("hl2").sma(3), "sma") != column(bars.sma(3), "sma")
-    assert column(bars.awesome(), "oscillator") == pytest.approx(column(bars.use("hl2").awesome(), "oscillator"), nan_ok=True) or True
     a = [x for x in column(bars.awesome(), "oscillator") if x is not None]
     b = [x for x in column(bars.use("hl2").awesome(), "oscillator") if x is not None]
     assert a == pytest.approx(b)
@@ -252,7 +251,7 @@ def test_every_operator_on_every_point_type_and_end(bars):
 
 def test_vwap_start(bars):
     v = column(bars.vwap(start_date="2024-01-02 00:00:00"), "vwap")
-    assert v[:24] == [None] * 24 and v[24] is not None or v[24] is None
+    assert v[:24] == [None] * 24 and None not in v[30:]
     with pytest.raises(ValueError):
         bars.vwap(start_date="2020-01-01")
 
