@@ -7,6 +7,8 @@ Words are scored once for all their occurrences in a slice of texts and remember
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -138,6 +140,12 @@ class Pieces:
         return out
 
 
+@lru_cache(maxsize=2)
+def pieces_of(path: str) -> Pieces:
+    """The pieces of a model file, made once in a worker."""
+    return Pieces(path)
+
+
 def forward(lattice: list, lengths: np.ndarray, chances: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums over all segmentations of each prefix: alpha (words, ends, languages), scaled by exp of the second result.
 
@@ -164,7 +172,7 @@ class Scorer:
     """Log scores of words by language."""
 
     def __init__(self, path: str, chances: np.ndarray):
-        self.pieces, self.chances = Pieces(path), chances
+        self.pieces, self.chances = pieces_of(path), chances
         self.forget()
 
     def forget(self) -> None:
@@ -234,7 +242,7 @@ def padded(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) ->
 
 def fit(path: str, counts: list[tuple[str, str, int]], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages, and chances (pieces, languages), from (language, lower-case word, occurrences)."""
-    vocabulary = Pieces(path)
+    vocabulary = pieces_of(path)
     langs = sorted({c[0] for c in counts})
     chances = np.full((len(vocabulary.text), len(langs)), 1.0 / len(vocabulary.text))
     blocks = []
