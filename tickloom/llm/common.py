@@ -58,7 +58,16 @@ def over_batches(df: DataFrame, run, schema) -> DataFrame:
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+
+    def released(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:  # the worker goes on to other tasks
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(released, schema)
 
 
 def text_or_empty(name: str = "text"):
