@@ -11,19 +11,29 @@ from .common import dropped, staged
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each node's component, for the nodes of edges (a, b).
 
-    Least labels spread to neighbours, and each round also follows labels of labels, so
-    that the rounds grow with the logarithm of a component's width. Each round is a table.
+    Each round sends every node to its least neighbour, or to where that one goes, and
+    draws the edges anew between what is left, so that they soon become few. Each round is
+    a table; at the end the rounds are followed one after the other.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
-    both = staged(both.distinct(), "edges")
-    labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    near = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
+    near = staged(near.distinct(), "edges")
+    rounds: list[DataFrame] = []
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "m").alias("to"))
-        jumped = lower.join(labels.withColumnsRenamed({"node": "_n", "label": "_l"}), F.col("to") == F.col("_n"))
-        after = staged(jumped.select("node", "old", F.least("to", "_l").alias("label")), "labels")
-        dropped(labels)
-        labels = after.select("node", "label")
-        if after.filter("label <> old").isEmpty():
-            dropped(both)
-            return labels
+        both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        one = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+        next_ = one.withColumnsRenamed({"node": "_n", "label": "_l"})
+        rounds.append(staged(one.join(next_, F.col("label") == F.col("_n")).select("node", F.least("label", "_l").alias("label")), "labels"))
+        dropped(one)
+        to = rounds[-1]
+        left = near.join(to, near["a"] == to["node"]).select("b", F.col("label").alias("x"))
+        left = left.join(to, left["b"] == to["node"]).select("x", F.col("label").alias("y")).filter("x <> y")
+        after = staged(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        dropped(near)
+        near = after
+        if near.isEmpty():
+            break
+    labels = rounds[0]
+    for to in rounds[1:]:
+        step = to.withColumnsRenamed({"node": "_n", "label": "_l"})
+        labels = labels.join(step, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"))
+    return labels
