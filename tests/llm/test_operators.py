@@ -174,6 +174,17 @@ def test_language_forward_sums_all_segmentations():
     assert np.allclose(np.exp(got), [total(word, 0), total(word, 1)])
 
 
+def test_language_of_texts_after_a_long_run_of_letters(spark):
+    counts = [("en", w, 900) for w in ("the", "house", "and", "where", "thehouseandwhere")] + [("de", w, 900) for w in ("der", "haus", "und", "woher", "derhausundwoher")]
+    long = "derhausundwoher" * 250
+    texts = ["the house", long, "the house and where", "der haus und woher", None, "12 34", "..."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in language_id.predict(docs, counts, language_id.vocabulary()).collect()}
+    assert [got[k].lang_pred for k in range(7)] == ["en", "de", "en", "de", "und", "und", "und"]
+    alone = {r.doc_id: r for r in language_id.predict(docs.filter("doc_id <> 1"), counts, language_id.vocabulary()).collect()}
+    assert all(got[k].score == alone[k].score for k in alone)
+
+
 # ---------------------------------------------------------------- any rows, any columns
 
 

@@ -147,24 +147,23 @@ def pieces_of(path: str) -> Pieces:
 
 
 def forward(lattice: list, lengths: np.ndarray, chances: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over all segmentations of each prefix: alpha (words, ends, languages), scaled by exp of the second result.
+    """Sums over all segmentations of each prefix: alpha (words, ends, languages), scaled by exp of the second result (words, languages).
 
     A character that no piece covers costs STRANGE. Every prefix is reached, so no word scores 0.
     """
     n, langs = len(lengths), chances.shape[1]
     alpha = np.zeros((n, width + 1, langs))
     alpha[:, 0] = 1
-    scale = np.zeros(n)
+    scale = np.zeros((n, langs))
     for end in range(1, width + 1):
         now = alpha[:, end - 1] * STRANGE
         for size, rows, ids in lattice[end]:
             now[rows] += alpha[rows, end - size] * chances[ids]
         alpha[:, end] = np.where((lengths >= end)[:, None], now, 0)
         if end % 16 == 0:  # long words would underflow
-            top = alpha[:, end].max(axis=1)
-            ok = top > 0
-            alpha[ok, max(0, end - LONGEST) : end + 1] /= top[ok][:, None, None]
-            scale[ok] += np.log(top[ok])
+            top = np.where(alpha[:, end] > 0, alpha[:, end], 1)  # each language by its own: one may be far below another
+            alpha[:, max(0, end - LONGEST) : end + 1] /= top[:, None]
+            scale += np.log(top)
     return alpha, scale
 
 
@@ -199,19 +198,19 @@ class Scorer:
             return sum(self.block(low, starts + k, np.minimum(starts + k + 4096, ends)) for k in range(0, width, 4096))
         words, lengths = padded(low, starts, ends, width)
         alpha, scale = forward(self.pieces.lattice(words, lengths), lengths, self.chances, width + 1)
-        return np.log(alpha[np.arange(len(lengths)), lengths]) + scale[:, None]
+        return np.log(alpha[np.arange(len(lengths)), lengths]) + scale
 
-    def texts(self, column) -> np.ndarray:
-        """Scores (rows, languages); NaN where a text has no letter."""
+    def texts(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (rows, languages), and which texts have a letter; the scores of the others are 0."""
         data, offsets = text_bytes(column)
         chars, at = code_points(data, offsets)
         low, starts, ends, first = letter_words(chars, at)
         # a run of marks without a letter is no word
         letters = np.concatenate(([0], np.cumsum(_KINDS[chars] == 1)))
-        out = np.full((len(offsets) - 1, self.chances.shape[1]), np.nan)
+        out = np.zeros((len(offsets) - 1, self.chances.shape[1]))
         has = letters[at[1:]] > letters[at[:-1]]
         if not has.any():
-            return out
+            return out, has
         hashes = span_hashes(low, starts, ends)
         unique, some, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.slot_of) > REMEMBERED:
@@ -227,9 +226,10 @@ class Scorer:
             self.scores[used : used + len(new)] = found
             self.slot_of.update(zip((keys[i] for i in new), range(used, used + len(new)), strict=True))
         slots = np.array([self.slot_of[h] for h in keys], np.int64)[inverse]
-        sums = np.concatenate((np.zeros((1, out.shape[1])), np.cumsum(self.scores[slots], axis=0)))
-        out[has] = (sums[first[1:]] - sums[first[:-1]])[has]
-        return out
+        some = first[1:] > first[:-1]
+        out[some] = np.add.reduceat(self.scores[slots], first[:-1][some], axis=0)
+        out[~has] = 0
+        return out, has
 
 
 def padded(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -296,9 +296,8 @@ def _predictor(names: list[str], shared, path: str):
         scorer = Scorer(path, chances)
         for batch in batches:
             for part in pieces(batch, "text", 1_000_000):
-                scores = scorer.texts(part.column(part.schema.get_field_index("text")))
-                none = np.isnan(scores).any(axis=1)
-                scores[none] = 0
+                scores, has = scorer.texts(part.column(part.schema.get_field_index("text")))
+                none = ~has
                 chance = np.exp(scores - scores.max(axis=1, keepdims=True))
                 chance /= chance.sum(axis=1, keepdims=True)
                 best = chance.argmax(axis=1)
