@@ -185,6 +185,23 @@ def test_language_of_texts_after_a_long_run_of_letters(spark):
     assert all(got[k].score == alone[k].score for k in alone)
 
 
+def test_language_uses_all_letter_pieces_and_no_cuts(monkeypatch):
+    import numpy as np
+    import sentencepiece
+
+    path = language_id.vocabulary()
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    every = [lib.id_to_piece(i) for i in range(lib.get_piece_size()) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i))]
+    pieces = language_id.pieces_of(path)
+    assert {p.lower() for p in every if p.lstrip("▁").isalpha()} <= set(pieces.text) and "▁government" in pieces.text
+    chances = np.random.default_rng(2).random((len(pieces.text), 2)) / 100
+    low = np.array([ord(c) for c in "governmentinformation" * 9], np.uint32)
+    whole = language_id.Scorer(path, chances).words(low, np.array([0]), np.array([len(low)]))
+    for part in (25, 63, 188):
+        monkeypatch.setattr(language_id, "PART", part)
+        assert np.allclose(language_id.Scorer(path, chances).words(low, np.array([0]), np.array([len(low)])), whole, rtol=1e-12)
+
+
 # ---------------------------------------------------------------- any rows, any columns
 
 

@@ -19,8 +19,10 @@ from .common import mixed, over_batches, pieces, span_hashes, table, text_bytes
 
 #: Rows of each language that the probabilities are learned from, those of the smallest hash, and rows in all.
 FIT_ROWS, FIT_ALL = 150, 20_000
-#: Rounds of expectation and maximisation; characters of the longest piece in use.
-ROUNDS, LONGEST = 3, 8
+#: Rounds of expectation and maximisation; characters of the vocabulary's longest piece.
+ROUNDS, LONGEST = 3, 16
+#: A word of more characters goes through the forward algorithm in parts of so many.
+PART = 4096
 #: Added to each piece's expected count, and the share of a character outside the vocabulary.
 SMOOTH, STRANGE = 0.05, 1e-7
 #: Words that a worker remembers before it starts anew.
@@ -146,16 +148,18 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def forward(lattice: list, lengths: np.ndarray, chances: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def forward(lattice: list, lengths: np.ndarray, chances: np.ndarray, width: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sums over all segmentations of each prefix: alpha (words, ends, languages), scaled by exp of the second result (words, languages).
 
     A character that no piece covers costs STRANGE. Every prefix is reached, so no word scores 0.
+    known: alpha of the first ends, where a word goes on from a part before.
     """
     n, langs = len(lengths), chances.shape[1]
     alpha = np.zeros((n, width + 1, langs))
-    alpha[:, 0] = 1
+    known = np.ones((n, 1, langs)) if known is None else known
+    alpha[:, : known.shape[1]] = known
     scale = np.zeros((n, langs))
-    for end in range(1, width + 1):
+    for end in range(known.shape[1], width + 1):
         now = alpha[:, end - 1] * STRANGE
         for size, rows, ids in lattice[end]:
             now[rows] += alpha[rows, end - size] * chances[ids]
@@ -194,12 +198,28 @@ class Scorer:
 
     def block(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         width = int((ends - starts).max())
-        if width > 4096:  # one very long run of letters: in parts, so that memory stays bounded
-            return sum(self.block(low, starts + k, np.minimum(starts + k + 4096, ends)) for k in range(0, width, 4096))
+        if width > PART:
+            return np.array([self.long(low, a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         words, lengths = padded(low, starts, ends, width)
         alpha, scale = forward(self.pieces.lattice(words, lengths), lengths, self.chances, width + 1)
         return np.log(alpha[np.arange(len(lengths)), lengths]) + scale
 
+    def long(self, low: np.ndarray, start: int, end: int) -> np.ndarray:
+        """Scores of one very long word, in parts, so that memory stays bounded; each part goes on from the last ends of the one before."""
+        known, total = None, np.zeros(self.chances.shape[1])
+        for k in range(start, end, PART):
+            # the characters that a piece over the cut can begin with
+            back = 0 if known is None else known.shape[1] - 1
+            stop = min(k + PART, end)
+            if known is None:
+                words, lengths = padded(low, np.array([k]), np.array([stop]), stop - k)
+            else:
+                words, lengths = low[None, k - back : stop].astype(np.uint64), np.array([stop - k + back])
+            alpha, scale = forward(self.pieces.lattice(words, lengths), lengths, self.chances, words.shape[1], known)
+            total += scale[0]
+            known = alpha[:, -min(LONGEST + 1, alpha.shape[1]) :]
+        return np.log(known[0, -1]) + total
+
     def texts(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Scores (rows, languages), and which texts have a letter; the scores of the others are 0."""
         data, offsets = text_bytes(column)
