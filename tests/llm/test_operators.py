@@ -71,6 +71,20 @@ def test_quality_rules(spark, sf_dir):
         assert not (r.kept and r.base_failed)
 
 
+def test_texts_without_common_words_go(spark):
+    import random
+
+    rnd = random.Random(3)
+    names = [f"{a}{b}{c}" for a in ("bar", "col", "den", "fir") for b in ("a", "e", "i", "o") for c in ("ming", "ton", "lar", "sen")]
+    clean = [" ".join(rnd.choice(quality.COMMON["en"]) if rnd.random() < 0.25 else rnd.choice(names) for _ in range(n)) for n in (60, 90, 150, 400) * 10]
+    junk = [" ".join(rnd.choice(names) for _ in range(n)) for n in (55, 200)]
+    short = "the barton of colsen"
+    rows = [(k, t, "en") for k, t in enumerate([*clean, *junk, short])]
+    rows += [(100 + k, " ".join(rnd.choice(names) for _ in range(90)), "xx") for k in range(3)]  # a language whose common words nobody has listed
+    kept = {r.doc_id for r in quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept == {*range(len(clean)), 100, 101, 102}
+
+
 def test_jaccard_join(spark, sf_dir):
     got = by_id(QUERIES["op7_jaccard_join"](spark, sf_dir))
     want = brute.near(documents(spark, sf_dir))

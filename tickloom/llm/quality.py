@@ -13,6 +13,8 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 MAX_CLASSES, MAX_COMMON = 0.30, 0.42
 #: A histogram of fewer characters or words than this says nothing of a text.
 LEAST_CHARS, LEAST_WORDS = 200, 50
+#: Largest lack of common words, 1 for a text without any, and how many common words a text must be expected to have for it.
+MAX_LACK, LEAST_COMMON = 0.5, 5
 
 # Common words whose shares make the second histogram; any other language takes them all.
 COMMON = {
@@ -101,7 +103,20 @@ def _with_reference(rows: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 HISTOGRAMS = {"classes": len(CLASSES) + 1, "common": len(EVERY) + 1}
-ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance"]
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance", "common_lack"]
+
+
+def lack(common: Column, reference: Column) -> Column:
+    """Distance of the shares of common and other words from the language's, scaled by that of a text without common words.
+
+    It does not depend on how many words of a language are common. 0 where the share is no
+    smaller than the language's; null where too few common words are to be expected.
+    """
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    two = lambda x: F.array(total(x) - F.element_at(x, -1), F.element_at(x, -1))
+    share = lambda x: (total(x) - F.element_at(x, -1)) / total(x)
+    scaled = distance(two(common), two(reference)) / distance(F.array(F.lit(0.0), F.lit(1.0)), two(reference))
+    return F.when(total(common) * share(reference) >= LEAST_COMMON, F.when(share(common) < share(reference), scaled).otherwise(F.lit(0.0)))
 
 
 def judge(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -127,6 +142,7 @@ def judge(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
             "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")),
             "class_distance": F.when(F.col("word_chars") >= LEAST_CHARS, far["classes"]),
             "common_distance": F.when(F.col("n_words") >= LEAST_WORDS, far["common"]),
+            "common_lack": F.when(F.col("n_words") >= LEAST_WORDS, lack(double(F.col("common")), F.col("_common"))),
         }
     )
     near = F.coalesce(F.col("class_distance") <= MAX_CLASSES, F.lit(True)) & F.coalesce(F.col("common_distance") <= MAX_COMMON, F.lit(True))
@@ -134,8 +150,12 @@ def judge(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with their own columns."""
-    return judge(docs).filter("kept").select(*docs.columns)
+    """The rows of docs that judge() keeps and that do not lack common words, with their own columns.
+
+    kept, which SQL defines too, does not see such a lack: 'other words' outweigh it in the distance.
+    """
+    enough = F.coalesce(F.col("common_lack") <= MAX_LACK, F.lit(True))
+    return judge(docs).filter(F.col("kept") & enough).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
