@@ -67,6 +67,24 @@ def test_old_bars_are_pruned(spark, tmp_path):
     assert live.bars().count() == 8
 
 
+@pytest.mark.parametrize("operate", [lambda b: b.obv(), lambda b: b.ema(5)], ids=["obv", "ema"])
+def test_results_past_the_cache_are_those_of_the_whole(spark, tmp_path, operate):
+    rows = walk(40)
+    want = rows_of(operate(Series(spark.createDataFrame(rows, BAR))).df)
+    live = Live(spark, operate, str(tmp_path), max_cache=8, compact=0)
+    seen: dict = {}
+    for a, b in ((0, 20), (20, 30), (30, 40)):
+        for r in live.push(spark.createDataFrame(rows[a:b], BAR)).collect():
+            assert r.kind == "upsert" and r.ts >= rows[a][1]
+            seen[r.ts] = tuple(r)[:-1]
+        live.compacted()
+    assert sorted(seen.values()) == want
+    assert rows_of(live.results()) == want[-8:]
+    late = (*rows[5][:5], rows[5][5] + 9, rows[5][6])
+    assert live.push(spark.createDataFrame([late], BAR)).count() == 0
+    assert rows_of(live.results()) == want[-8:]
+
+
 def test_query_over_files(spark, tmp_path):
     source, rows = tmp_path / "in", walk(30)
     for k in range(3):

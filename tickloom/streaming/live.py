@@ -24,10 +24,11 @@ CHANGES = f"{BAR}, op string, _batch long, _no long"
 class Live:
     """An operator kept up to date.
 
-    operate: bars to results, any chain of operators. path: a shared folder for the table
-    of changes. max_cache: the last bars of each series that count; older ones are pruned,
-    and so are late rows older than all of them. compact: batches after which the table
-    is written anew.
+    operate: bars to results, any chain of operators; it runs over all bars of a series, so
+    that what carries on from bar to bar is right at any length. path: a shared folder for
+    the table of changes. max_cache: the last bars of each series that can still change and
+    that bars() and results() give; late rows, corrections and removals older than all of
+    them are dropped. compact: batches after which the table is written anew.
     """
 
     spark: SparkSession
@@ -46,16 +47,24 @@ class Live:
         """The bars that hold now: of each time the last change, unless it removes the bar."""
         latest = F.max_by(F.struct(*OHLCV, "op"), F.struct("_batch", "_no"))
         now = changes.groupBy("series_key", "ts").agg(latest.alias("r")).filter(F.col("r.op") != "delete")
-        bars = now.select("series_key", "ts", *(F.col(f"r.{c}").alias(c) for c in OHLCV))
+        return now.select("series_key", "ts", *(F.col(f"r.{c}").alias(c) for c in OHLCV))
+
+    def _cached(self, rows: DataFrame, bars: DataFrame) -> DataFrame:
+        """rows that are no older than the last max_cache bars of their series; all of a series with fewer bars."""
         newest = Window.partitionBy("series_key").orderBy(F.col("ts").desc())
-        return bars.withColumn("_k", F.row_number().over(newest)).filter(F.col("_k") <= self.max_cache).drop("_k")
+        oldest = bars.select("series_key", "ts", F.row_number().over(newest).alias("_k")).filter(F.col("_k") == self.max_cache)
+        oldest = oldest.select(F.col("series_key").alias("_series"), F.col("ts").alias("_oldest"))
+        joined = rows.join(oldest, F.col("series_key").eqNullSafe(F.col("_series")) & F.col("_oldest").isNotNull(), "left")
+        return joined.filter(F.col("_oldest").isNull() | (F.col("ts") >= F.col("_oldest"))).select(*rows.columns)
 
     def bars(self) -> DataFrame:
-        return self._bars(self._changes())
+        bars = self._bars(self._changes())
+        return self._cached(bars, bars)
 
     def results(self) -> DataFrame:
-        """Results over all bars held now."""
-        return self.operate(Series(self.bars())).df
+        """Results of the last max_cache bars, made from all bars."""
+        bars = self._bars(self._changes())
+        return self._cached(self.operate(Series(bars)).df, bars)
 
     def push(self, rows: DataFrame, batch: int | None = None) -> DataFrame:
         """Take a batch of bars, with op (upsert or delete) if it has one; gives the results that it changes.
@@ -69,6 +78,7 @@ class Live:
         added = rows.select("series_key", "ts", *(F.col(c).cast("double").alias(c) for c in OHLCV), "op", F.lit(batch).cast("long").alias("_batch"), F.monotonically_increasing_id().alias("_no"))
         version = f"{self.path}/batch-{batch}"
         before = self._changes(but=version)
+        added = self._cached(added, self._bars(before))
         added.write.mode("overwrite").parquet(version)  # a batch that comes again replaces itself
         if version not in self._versions:
             self._versions.append(version)
@@ -84,7 +94,7 @@ class Live:
     def compacted(self) -> None:
         """Write the bars that hold as one version."""
         name = f"{self.path}/compact-{self._batches}"
-        self.bars().withColumns({"op": F.lit("upsert"), "_batch": F.lit(self._batches - 1).cast("long"), "_no": F.lit(0).cast("long")}).write.mode("overwrite").parquet(name)
+        self._bars(self._changes()).withColumns({"op": F.lit("upsert"), "_batch": F.lit(self._batches - 1).cast("long"), "_no": F.lit(0).cast("long")}).write.mode("overwrite").parquet(name)
         self._versions = [name]
 
     def start(self, stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
