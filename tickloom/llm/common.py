@@ -19,14 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders for tests on one machine, by application; tables written, by folder.
+_OWN: dict[str, str] = {}
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares. Only where none is named (tests on one machine) a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the cluster shares. Only where none is named and all runs on one machine a temporary one."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = tempfile.mkdtemp(prefix="tickloom-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext._jsc.sc().conf().set("spark.checkpoint.dir", named)
-        atexit.register(shutil.rmtree, named, True)
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="tickloom-")
+            atexit.register(shutil.rmtree, _OWN[context.applicationId], True)
+        named = _OWN[context.applicationId]
     return named.rstrip("/")
 
 
@@ -37,16 +45,48 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    _WRITTEN[:] = [x for x in _WRITTEN if x != path]
+
+
 def dropped(df: DataFrame) -> None:
     """Remove what staged() has written, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
     for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        parent = file.rsplit("/", 1)[0]
+        for path in [x for x in _WRITTEN if parent.endswith(x.rsplit("/", 1)[1])]:
+            _delete(df.sparkSession, path)
+
+
+def mark() -> int:
+    """A place in the list of tables written, for swept()."""
+    return len(_WRITTEN)
+
+
+def swept(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Remove the tables written since mark(), but for the one that `keep` reads: it needs no other."""
+    files = keep.inputFiles()[:1] if keep is not None else []
+    for path in _WRITTEN[since:]:
+        if not any(f"/{path.rsplit('/', 1)[1]}/" in f for f in files):
+            _delete(spark, path)
+
+
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that df does not have yet."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 #: Rows of a batch that goes to Python, so that batches of texts stay small.
@@ -133,9 +173,44 @@ def _kept_powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+#: Bytes (or values) whose prefix sums are held at once.
+CHUNK = 1 << 22
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
-    """A polynomial hash modulo 2**64 of data[start:end] for each span, from prefix sums."""
+    """A polynomial hash modulo 2**64 of data[start:end] for each span, from prefix sums; starts rise.
+
+    A hash does not depend on where the span lies, so long data are taken in chunks.
+    """
     base, inverse = (_BASE2, _INVERSE2) if second else (_BASE, _INVERSE)
+    n = len(data)
+    if n > CHUNK and len(starts):
+        cuts = np.searchsorted(starts, np.arange(0, n + CHUNK, CHUNK))
+        out = np.empty(len(starts), np.uint64)
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            if b > a:
+                low = int(starts[a])
+                high = max(int(ends[a:b].max()), low)
+                own = data[low:high]
+                out[a:b] = _span_hashes(own, starts[a:b] - low, ends[a:b] - low, base, inverse) if high - low <= 2 * CHUNK else _by_span(data, starts[a:b], ends[a:b], base, inverse)
+        return out
+    return _span_hashes(data, starts, ends, base, inverse)
+
+
+def _by_span(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64, inverse: np.uint64) -> np.ndarray:
+    """The same where spans are longer than a chunk: each by itself, chunk after chunk."""
+    out = np.empty(len(starts), np.uint64)
+    for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        total, power = 0, 1
+        for c in range(a, b, CHUNK):
+            own = data[c : min(c + CHUNK, b)].astype(np.uint64) + np.uint64(1)
+            total = (total + power * int((own * _kept_powers(base, len(own))).sum(dtype=np.uint64))) & 0xFFFFFFFFFFFFFFFF
+            power = power * pow(int(base), len(own), 1 << 64) & 0xFFFFFFFFFFFFFFFF
+        out[k] = (total + b - a) & 0xFFFFFFFFFFFFFFFF
+    return mixed(out)
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64, inverse: np.uint64) -> np.ndarray:
     n = len(data)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _kept_powers(base, n), out=prefix[1:])
