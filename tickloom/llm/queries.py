@@ -25,4 +25,5 @@ ORACLES = {
     "op1_chat_format": chat.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
+    "op5_sharding": sharding.ORACLE,
 }
