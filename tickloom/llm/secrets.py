@@ -2,43 +2,67 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_or_empty
+from .common import shared_dir, staged, table, text_or_empty
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Leftmost matches of pattern that do not overlap; of these, those whose group has the least length."""
+    """Leftmost matches of pattern that do not overlap; of these, those whose group has the least length.
+
+    hint: what every text with a match also matches, if that is quicker to tell.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    hint: str = ""
 
 
 # What the base rules look for.
 BASE = [
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
-    Rule("hex", r"[0-9a-f]+", 0, 32),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, "(?i:passw|secret|token|api_?key)"),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, "AKIA"),
+    Rule("hex", r"[0-9a-f]+", 0, 32, "[0-9a-f]{32}"),
 ]
 MORE = [
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, "eyJ"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, "gh[pousr]_"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "-----BEGIN "),
 ]
 RULES = BASE + MORE
-VERSION = "1"
 SPAN = "struct<start: int, k: int, end: int, kind: string>"
 NONE = f"cast(array() as array<{SPAN}>)"
+ROW = f"blob binary, rule_version string, spans array<{SPAN}>"
 #: Stands for a null path.
 NO_PATH = -(2**63)
-#: Any text in which some rule matches also has one of these; the long forms spare most texts the single rules.
-HINT = r"""(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|eyJ|gh[pousr]_|-----BEGIN """
+#: Bytes of all findings up to which they go to every task, so that paths do not move.
+BROADCAST_BYTES = 16 << 20
+
+
+def rule_version(rules: list[Rule]) -> str:
+    """What the rules find, as a digest: another pattern, group, length or order is another version."""
+    return hashlib.sha256(repr([(r.kind, r.pattern, r.group, r.least) for r in rules]).encode()).hexdigest()[:16]
+
+
+def likely(text: Column, rules: list[Rule]) -> Column:
+    """Whether a text may hold a match of some rule: one search for all hints, and one for each rule that has none."""
+    hints = [r.hint for r in rules if r.hint]
+    found = [text.rlike("|".join(hints))] if hints else []
+    for r in rules:
+        if not r.hint:
+            found.append(text.rlike(r.pattern))
+    out = F.lit(False)
+    for x in found:
+        out = out | x
+    return out
 
 
 def _spans(text: Column, order: int, rule: Rule) -> Column:
@@ -60,18 +84,16 @@ def _spans(text: Column, order: int, rule: Rule) -> Column:
     return F.aggregate(F.filter(zipped, lambda x: x["f"].isNotNull()), start, step, lambda s: s["spans"])
 
 
-
-
 def scan(blobs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """blobs (blob, text) that hold a secret: (blob, spans), spans by start, then kind as listed."""
-    likely = blobs.filter(F.col("text").rlike(HINT))
     none = F.expr(NONE)
     parts = []
     for k, r in enumerate(rules):
         # short hex digits are everywhere: this finds the same long runs and nothing else
         exact = Rule(r.kind, "[0-9a-f]{32,}", 0, 32) if r == BASE[2] else r
         parts.append(F.when(F.col("text").rlike(exact.pattern), _spans(F.col("text"), k, exact)).otherwise(none))
-    return likely.select("blob", F.sort_array(F.concat(*parts)).alias("spans")).filter(F.size("spans") > 0)
+    chosen = blobs.filter(likely(F.col("text"), rules))
+    return chosen.select("blob", F.sort_array(F.concat(none, *parts)).alias("spans")).filter(F.size("spans") > 0)
 
 
 def blob_of(text: str = "text") -> Column:
@@ -84,37 +106,81 @@ def addressed(versions: DataFrame, path: str = "doc_id") -> DataFrame:
     return versions.select(F.col(path).cast("long").alias("path"), blob_of().alias("blob"))
 
 
-def scan_unseen(versions: DataFrame, addresses: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", version: str = VERSION, rules: list[Rule] = RULES) -> DataFrame:
+def scan_unseen(versions: DataFrame, addresses: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", rules: list[Rule] = RULES) -> DataFrame:
     """New rows of the ledger: (blob, rule_version, spans) of contents not yet scanned with these rules.
 
     However many paths hold a content, one version of it is read. Clean contents get
     empty spans, so that the ledger knows them.
     """
-    unseen = addresses
+    version = rule_version(rules)
+    chosen = addresses.groupBy("blob").agg(F.min(F.coalesce("path", F.lit(NO_PATH))).alias("path"))
     if ledger is not None:
-        unseen = unseen.join(ledger.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    chosen = unseen.groupBy("blob").agg(F.min(F.coalesce("path", F.lit(NO_PATH))).alias("path"))
+        chosen = chosen.join(ledger.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
     texts = versions.select(F.coalesce(F.col(path).cast("long"), F.lit(NO_PATH)).alias("path"), blob_of().alias("blob"), text_or_empty().alias("text"))
     found = scan(texts.join(chosen.hint("shuffle_hash"), ["path", "blob"]).select("blob", "text"), rules).groupBy("blob").agg(F.first("spans").alias("spans"))
     return chosen.select("blob").join(found, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", F.expr(NONE)).alias("spans"))
 
 
-def find_secrets(versions: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", version: str = VERSION, rules: list[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
+class Ledger:
+    """The ledger as a folder of commits. A commit is there once all of it is written."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def commits(self) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = path(self.folder)
+        files = root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not files.exists(root):
+            return []
+        found = [x.getPath().toString() for x in files.listStatus(root)]
+        return sorted(x for x in found if files.exists(path(f"{x}/_SUCCESS")))
+
+    def read(self) -> DataFrame | None:
+        found = self.commits()
+        return self.spark.read.schema(ROW).parquet(*found) if found else None
+
+    def commit(self, new: DataFrame) -> DataFrame:
+        """Append what is new; gives the whole ledger."""
+        new.write.parquet(f"{self.folder}/commit-{len(self.commits()):06d}-{uuid.uuid4().hex[:8]}")
+        return self.read()
+
+    def scan(self, versions: DataFrame, path: str = "doc_id", rules: list[Rule] = RULES) -> DataFrame:
+        """(path, blob, spans) of every row of versions; contents that the ledger does not know are scanned and go into it."""
+        addresses = staged(addressed(versions, path), "addresses")
+        whole = self.commit(scan_unseen(versions, addresses, self.read(), path, rules))
+        return findings(addresses, whole, rules)
+
+
+def findings(addresses: DataFrame, ledger: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """(path, blob, spans) of all addresses (path, blob), from the ledger's rows of these rules."""
+    held = ledger.filter((F.col("rule_version") == rule_version(rules)) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
+    held = staged(held, "findings")
+    size = held.agg(F.sum(64 + 40 * F.size("spans"))).first()[0] or 0
+    joined = addresses.join(F.broadcast(held) if size <= BROADCAST_BYTES else held, "blob", "left")
+    return joined.select("path", "blob", F.coalesce("spans", F.expr(NONE)).alias("spans"))
+
+
+def find_secrets(versions: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", rules: list[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
     """(path, blob, spans) of every version, and the ledger with what is new.
 
-    spans: array of (start, k, end, kind) in code points, end exclusive. A null or empty
-    text has none; null paths and repeated rows are versions like others; an empty table
-    gives empty results. Other columns are not read.
+    spans: array of (start, k, end, kind) in code points, end exclusive. Contents of the
+    ledger are scanned again only with other rules. A null or empty text has no spans; null
+    paths and repeated rows are versions like others; an empty table gives empty results.
+    Other columns are not read.
     """
     addresses = staged(addressed(versions, path), "addresses")
-    new = staged(scan_unseen(versions, addresses, ledger, path, version, rules), "ledger")
+    new = staged(scan_unseen(versions, addresses, ledger, path, rules), "ledger")
     whole = new if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(new)
-    held = whole.filter((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
-    return addresses.join(held, "blob", "left").select("path", "blob", F.coalesce("spans", F.expr(NONE)).alias("spans")), whole
+    return findings(addresses, whole, rules), whole
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Two versions of the table are scanned one after the other with one ledger: what the source that comes first had delivered, then all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    ledger = Ledger(spark, f"{shared_dir(spark)}/blob-ledger-{uuid.uuid4().hex}")
+    ledger.scan(docs.filter(F.col("source") == docs.agg(F.min("source")).first()[0]))
+    found = ledger.scan(docs)
     base = F.filter("spans", lambda s: s["k"] < len(BASE))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of = lambda k: F.size(F.filter("spans", lambda s: s["k"] == k)).cast("long")
