@@ -1,20 +1,25 @@
 """Documents whose sets of word shingles are alike: MinHash LSH forest, then exact counts.
 
-Each document has a signature of min-hashes, and the forest one prefix trie for each four
-of them. Prefixes start long and are shortened until pairs at the threshold meet in some
-trie with the target recall. Inside a trie node, signatures are compared, and documents
-that may be alike are joined by a few edges, never by all pairs. In each connected group
-all pairs of shingle sets are then counted exactly.
+Each document has a signature of min-hashes and a label of eight of them in each trie.
+Labels are sorted, so that a node of a trie, all documents with one prefix, is a run of
+rows, and its size at each depth is known. A document starts with its longest prefixes
+and shortens them, those whose next node is small first, until pairs at the threshold
+meet it in some trie with the target recall: in crowded nodes it stays deep. Inside a
+node, signatures are compared, and documents that may be alike are joined by a few edges,
+never by all pairs. In each connected group all pairs of shingle sets are then counted
+exactly.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, over_batches, pieces, span_hashes, staged, table, text_bytes, words_of
+from .common import mixed, over_batches, pieces, span_hashes, staged, table, text_bytes, text_or_empty, unused, words_of
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -22,6 +27,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 HASHES, TREES, DEPTH = 128, 32, 8
 #: Share of pairs at the threshold that must meet in some trie.
 RECALL = 0.999999
+#: Rounds of shortening: in round k a prefix goes on while the next node has no more than 2**k documents; the last has no such limit.
+ROUNDS = 24
+#: Bytes of the keys of dropped rows up to which they go to every task, so that no text moves.
+BROADCAST_BYTES = 16 << 20
 #: Documents, or shingles, of a group that one task counts; larger groups are dealt as pairs of blocks.
 #: A group of n documents has the square root of n blocks at most, so that copies of rows stay in bounds.
 BLOCK_DOCS, BLOCK_SHINGLES = 250, 3_000_000
@@ -31,11 +40,60 @@ NODE_DOCS = 5_000
 NO_ID = -(2**63)
 
 
-def prefix_depth(similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix that still lets a pair at the threshold meet often enough."""
+def shortest_prefix(similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
+    """One less than the longest prefix that reaches the recall if all tries use it, so that some tries may stay deeper."""
     while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
         depth -= 1
-    return depth
+    return max(depth - 1, 1)
+
+
+def forest(one: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, rounds: int = ROUNDS) -> DataFrame:
+    """(cid, node, depth, own, c): the nodes of the tries in which documents (cid, sig) meet others, c documents in each.
+
+    own is the depth to which the document has shortened its prefix in this trie, depth
+    that of the node: the least of all that share it, since a document is found by all
+    that come up to it. A document that is alone in a trie has come to its shortest
+    prefix there.
+    """
+    least = shortest_prefix(similarity, recall, trees, depth)
+    width = 2 * HASHES // trees  # bytes of a trie's own min-hashes; deeper levels take those of the next trie
+    labels = []
+    for t in range(trees):
+        label = F.concat(F.substring("sig", width * t + 1, width), F.substring("sig", width * ((t + 1) % trees) + 1, max(2 * depth - width, 0)))
+        labels.append(F.struct(F.xxhash64(F.lit(t), F.substring(label, 1, 2 * least)).alias("root"), F.substring(label, 2 * least + 1, 2 * (depth - least)).alias("rest")))
+    rows = one.select("cid", F.explode(F.array(*labels)).alias("x")).select("cid", "x.root", "x.rest").repartition("root")
+    levels = list(range(least, depth + 1))
+    letters = [f"l{d}" for d in levels[1:]]
+    path = lambda d: ["root", *letters[: d - least]]
+    rows = rows.withColumn(f"c{least}", F.count(F.lit(1)).over(Window.partitionBy("root"))).filter(F.col(f"c{least}") > 1)
+    rows = rows.select("cid", "root", f"c{least}", *(F.substring("rest", 2 * k + 1, 2).alias(x) for k, x in enumerate(letters)))
+    # the tries in their order: each node is a run of rows, and the nodes below lie inside it
+    rows = rows.sortWithinPartitions("root", *letters)
+    for d in levels[1:]:
+        rows = rows.withColumn(f"c{d}", F.count(F.lit(1)).over(Window.partitionBy(*path(d))))
+    rows = staged(rows, "tries")
+
+    missed = {d: math.log1p(-(similarity**d)) for d in levels}
+
+    def shortened(limit: Column | None, value) -> Column:
+        out = F.lit(value(depth))
+        for d in reversed(levels[:-1]):
+            out = F.lit(value(d)) if limit is None else F.when(F.col(f"c{d}") <= limit, F.lit(value(d))).otherwise(out)
+        return out
+
+    limits = [F.lit(1 << k) for k in range(1, rounds)]
+    alone = (trees - F.count(F.lit(1))) * F.lit(missed[least])
+    sums = rows.groupBy("cid").agg(*((F.sum(shortened(x, missed.__getitem__)) + alone).alias(f"s{k}") for k, x in enumerate(limits)))
+    enough = F.lit(math.log1p(-recall))
+    chosen = F.coalesce(*(F.when(F.col(f"s{k}") <= enough, x.cast("long")) for k, x in enumerate(limits)), F.lit(2**62))
+    rows = rows.join(sums.select("cid", chosen.alias("limit")), "cid").withColumn("own", shortened(F.col("limit"), int))
+    # a node is in use if a document has come up to it; a document meets others in the highest such node above it
+    rows = rows.repartition("root").sortWithinPartitions("root", *letters)
+    used = [F.max(F.col("own") == d).over(Window.partitionBy(*path(d))) for d in levels]
+    rows = rows.withColumns({f"u{d}": u for d, u in zip(levels, used, strict=True)})
+    at = lambda value: F.coalesce(*(F.when(F.col(f"u{d}"), value(d)) for d in levels))
+    met = rows.select("cid", at(lambda d: F.xxhash64(F.lit(d), *path(d))).alias("node"), at(F.lit).alias("depth"), "own", at(lambda d: F.col(f"c{d}")).alias("c"))
+    return met.filter("c > 1")
 
 
 def least_estimate(similarity: float = SIMILARITY, hashes: int = HASHES) -> int:
@@ -97,13 +155,14 @@ def _sign(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array(key, pa.int64()),
                         pa.array(np.where(n_words > 0, two, ~bare).view(np.int64), pa.int64()),
                         pa.array(np.diff(offsets) == 0, pa.bool_()),
                         pa.array(np.diff(cuts), pa.int64()),
                         pa.array([raw[i * wide : (i + 1) * wide] if c else None for i, c in enumerate(n_words.tolist())], pa.binary()),
                     ],
-                    names=["id", "key", "key2", "bare", "n", "sig"],
+                    names=["id", "body", "key", "key2", "bare", "n", "sig"],
                 )
 
     return run
@@ -142,7 +201,6 @@ def _sets(k: int):
                 data, offsets = text_bytes(part.column(part.schema.get_field_index("text")))
                 shingles, cuts, n_words, one, two = shingles_of(data, offsets, k)
                 cid = part.column(part.schema.get_field_index("cid")).to_numpy()
-                # another row may have the same doc_id: its words tell
                 rows = np.flatnonzero((one.view(np.int64) == cid) & (n_words > 0)).tolist()
                 sets = [np.unique(shingles[cuts[i] : cuts[i + 1]]).tobytes() for i in rows]
                 kept = part.take(pa.array(rows, pa.int64()))
@@ -222,45 +280,25 @@ def dealt_in_blocks(rows: DataFrame) -> DataFrame:
     return met.withColumns({k: F.when(F.col("with") < 0, F.lit(-1)).otherwise(c) for k, c in pair.items()})
 
 
-def near_duplicates(
-    docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES, node_docs: int = NODE_DOCS
-) -> DataFrame:
-    """(doc_id, class_id, n_links) for each row of docs (doc_id, text).
-
-    Two documents are linked if the Jaccard similarity of their sets of `shingle`-word
-    shingles is `similarity` or more; words are runs of digits, letters a-z (A-Z
-    lower-cased) and characters from U+0080 on, and a text of fewer words has one shingle
-    of them all. Texts without words are linked if they are equal; an empty or null text
-    to none. class_id is the least doc_id of all that links connect, n_links the number of
-    rows linked to the row. A null doc_id is the least; repeated rows are linked to each
-    other; an empty table gives an empty result. Other columns are not read.
-    """
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    signed = staged(over_batches(own, _sign(shingle), "id long, key long, key2 long, bare boolean, n long, sig binary"), "signed")
+def _classes(docs: DataFrame, similarity: float, shingle: int, block_docs: int, block_shingles: int, node_docs: int) -> DataFrame:
+    """(id, body, n_links, least) of each row: least is the (id, body) that comes first in its class; body tells texts apart."""
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text", F.xxhash64(text_or_empty()).alias("body"))
+    signed = staged(over_batches(own, _sign(shingle), "id long, body long, key long, key2 long, bare boolean, n long, sig binary"), "signed")
     # equal texts, by 128 bits of hash, are one from here on; those with no characters are apart
     full = signed.filter(~F.col("bare"))
-    groups = staged(full.groupBy("key", "key2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "groups")
+    groups = staged(full.groupBy("key", "key2").agg(F.min(F.struct("id", "body")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "groups")
     one = groups.select(F.col("key").alias("cid"), "rep", "copies", "n", "sig").filter(F.col("sig").isNotNull())
 
-    depth = prefix_depth(similarity)
-    nodes = []
-    for t in range(TREES):
-        width = 2 * HASHES // TREES  # bytes of a trie's own min-hashes; deeper levels take those of the next trie
-        parts = [F.expr(f"substring(sig, {width * t + 1}, {min(2 * depth, width)})")]
-        if 2 * depth > width:
-            parts.append(F.expr(f"substring(sig, {width * ((t + 1) % TREES) + 1}, {2 * depth - width})"))
-        nodes.append(F.xxhash64(F.lit(t), *parts))
-    tries = one.select("cid", F.explode(F.array(*nodes)).alias("node")).repartition("node")
-    shared = tries.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    met = tries.join(shared, "node").withColumn("parts", blocks_for(F.col("c"), node_docs)).join(one.select("cid", "sig"), "cid")
+    nodes = forest(one.select("cid", "sig"), similarity).withColumn("parts", blocks_for(F.col("c"), node_docs))
+    met = nodes.select("node", "parts", "cid").join(one.select("cid", "sig"), "cid")
     edges = dealt_in_blocks(met).select("node", "one", "two", "cid", "sig").groupBy("node", "one", "two").applyInArrow(_bucket(least_estimate(similarity)), "a long, b long")
     near = components(edges).withColumnsRenamed({"node": "cid", "label": "comp"})
 
     member = staged(near.join(one.select("cid", "rep", "copies", "n"), "cid"), "members")
     by_shingles = F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int")
     sizes = member.groupBy("comp").agg(F.greatest(blocks_for(F.count(F.lit(1)), block_docs), by_shingles).alias("parts"))
-    wanted = member.join(sizes, "comp").select("comp", "parts", "cid", "copies", F.col("rep").alias("id"))
-    texts = own.join(wanted.hint("shuffle_hash"), "id")
+    wanted = member.join(sizes, "comp").select("comp", "parts", "cid", "copies", F.col("rep.id").alias("id"), F.col("rep.body").alias("body"))
+    texts = own.join(wanted.hint("shuffle_hash"), ["id", "body"])
     sets = over_batches(texts, _sets(shingle), "comp long, parts int, cid long, copies long, shingles binary")
     dealt = dealt_in_blocks(sets)
     checked = staged(dealt.select("comp", "one", "two", "cid", "copies", "block", "shingles").groupBy("comp", "one", "two").applyInArrow(_verify(similarity), "cid long, links long, label long, split boolean"), "checked")
@@ -271,19 +309,50 @@ def near_duplicates(
         links = links.join(whole, "cid", "left").select("cid", "links", F.coalesce("_whole", "label").alias("label"))
 
     classes = groups.select("key", "key2", "rep", "copies").join(links, F.col("key") == F.col("cid"), "left").select("key", "key2", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("label", "key").alias("label"))
-    least = classes.groupBy("label").agg(F.min("rep").alias("class_id"))
-    known = classes.join(least, "label").select("key", "key2", "class_id", "n_links")
-    rows = signed.select("id", "bare", F.when(~F.col("bare"), F.col("key")).alias("key"), F.when(~F.col("bare"), F.col("key2")).alias("key2"))
+    first = classes.groupBy("label").agg(F.min("rep").alias("least"))
+    known = classes.join(first, "label").select("key", "key2", "least", "n_links")
+    rows = signed.select("id", "body", F.when(~F.col("bare"), F.col("key")).alias("key"), F.when(~F.col("bare"), F.col("key2")).alias("key2"))
+    return rows.join(known, ["key", "key2"], "left").select("id", "body", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", F.struct("id", "body")).alias("least"))
+
+
+def near_duplicates(
+    docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES, node_docs: int = NODE_DOCS
+) -> DataFrame:
+    """(doc_id, class_id, n_links) for each row of docs (doc_id, text).
+
+    Two documents are linked if the Jaccard similarity of their sets of `shingle`-word
+    shingles is `similarity` or more; words are runs of digits, letters a-z (A-Z
+    lower-cased) and characters from U+0080 on, and a text of fewer words has one shingle
+    of them all. Texts without words are linked if they are equal; an empty or null text
+    to none. class_id is the least doc_id of all that links connect, n_links the number of
+    rows linked to the row. A null doc_id is the least; repeated rows are linked to each
+    other; an empty table gives an empty result. Other columns are not read.
+    """
+    found = _classes(docs, similarity, shingle, block_docs, block_shingles, node_docs)
     real = lambda c: F.when(c != NO_ID, c)
-    return rows.join(known, ["key", "key2"], "left").select(real(F.col("id")).alias("doc_id"), real(F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return found.select(real(F.col("id")).alias("doc_id"), real(F.col("least.id")).alias("class_id"), "n_links")
 
 
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without those that near_duplicates() links to a smaller doc_id's class; of repeated rows one stays."""
-    found = near_duplicates(docs, similarity)
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
-    kept = docs.withColumn("_i", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(stays, F.col("_i") == F.col("_id"), "left_semi")
-    return kept.drop("_i")
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs with one row of each class that near_duplicates() finds: of the least doc_id, and if that has several texts, the least hash.
+
+    Of repeated rows (one doc_id and text) one stays, empty texts included. Where all that
+    goes is at most broadcast_bytes it is sent to every task; beyond, rows move to it.
+    """
+    found = staged(_classes(docs, similarity, SHINGLE, BLOCK_DOCS, BLOCK_SHINGLES, NODE_DOCS), "near-classes")
+    i, b, id_, body_, row = unused(docs, "_i", "_b", "_id", "_body", "_row")
+    mine = F.struct("id", "body")
+    gone = found.filter(mine != F.col("least")).select(F.col("id").alias(id_), F.col("body").alias(body_)).distinct()
+    gone = staged(gone, "near-copies")
+    keyed = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), b: F.xxhash64(text_or_empty())})
+    same = (F.col(i) == F.col(id_)) & (F.col(b) == F.col(body_))
+    kept = keyed.join(F.broadcast(gone) if 48 * gone.count() <= broadcast_bytes else gone, same, "left_anti")
+    repeated = found.filter(mine == F.col("least")).groupBy("id", "body").count().filter("count > 1").select(F.col("id").alias(id_), F.col("body").alias(body_))
+    repeated = staged(repeated, "repeated-rows")
+    if not repeated.isEmpty():
+        again = kept.join(repeated, same, "left_semi").withColumn(row, F.row_number().over(Window.partitionBy(i, b).orderBy(F.lit(0))))
+        kept = kept.join(repeated, same, "left_anti").unionByName(again.filter(F.col(row) == 1).drop(row))
+    return kept.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
