@@ -3,17 +3,18 @@
 A byte goes if some string of `length` bytes that covers it also starts earlier. Strings
 are not listed one by one. In each string the smallest hash of SEED bytes is its anchor,
 so equal strings have equal anchors at equal places, and neighbouring strings share one:
-they make a block. Blocks equal as a whole are settled by their hashes. Of anchors whose
-blocks differ, the suffixes are sorted: two are compared through prefix polynomial hashes
-and a binary search for their common extension, which is then checked byte by byte; the
-extensions of neighbours in this order, with hashes of what lies before the anchor, tell
-which single strings are equal.
+they make a block. Blocks equal as a whole, by a cryptographic digest of their bytes, are
+settled by one sort. Of anchors whose blocks differ, the suffixes are sorted: two are
+compared through prefix polynomial hashes and a binary search for their common extension,
+which is then checked byte by byte; the extensions of neighbours in this order, with what
+lies before the anchor, tell which single strings are equal, and their bytes are compared.
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import cmp_to_key
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BASE, _INVERSE, _kept_powers, mixed, over_batches, pieces, span_hashes, staged, table, text_bytes
+from .common import _BASE, _INVERSE, _kept_powers, mixed, over_batches, pieces, staged, table, text_bytes, unused
 
 LENGTH, SEED = 100, 32
+#: Bytes of a text that are looked at in one go; a longer text goes in parts that share length - 1 bytes.
+PART_BYTES = 2 << 20
 #: Blocks resolved at once, and blocks of one anchor beyond which its strings are dealt out one by one.
 AT_ONCE, CROWD = 4_000, 40_000
 #: Stands for a null doc_id.
@@ -33,11 +36,11 @@ _U64 = (1 << 64) - 1
 
 
 def blocks_of(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
-    """Anchors' hashes, block hashes, rows, and starts, anchors and ends of blocks."""
+    """Anchors' hashes, rows, and starts, anchors and ends of blocks."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none
+        return none.astype(np.uint64), none, none, none, none
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _kept_powers(_BASE, n), out=prefix[1:])
     inverse = _kept_powers(_INVERSE, n + 1)
@@ -62,14 +65,19 @@ def blocks_of(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
     last = valid.copy()
     last[:-1] &= first[1:] | ~valid[1:]
     start, end, at = np.flatnonzero(first), np.flatnonzero(last) + length, anchor[first]
-    whole = mixed((prefix[end] - prefix[start]) * inverse[start] + (at - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (end - start).astype(np.uint64))
-    return grams[at], whole, np.searchsorted(offsets, start, side="right") - 1, start, at, end
+    return grams[at], np.searchsorted(offsets, start, side="right") - 1, start, at, end
 
 
-_FOUND = T.StructType([T.StructField(x, T.LongType()) for x in ("anchor", "block", "id", "key")] + [T.StructField(x, T.IntegerType()) for x in ("start", "left", "size")] + [T.StructField("gone", T.BooleanType())])
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(spans, 2): 128 bits of BLAKE2b of the bytes of each span."""
+    raw = memoryview(data.tobytes())
+    return np.frombuffer(b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
 
 
-def _find(length: int, seed: int):
+_FOUND = T.StructType([T.StructField(x, T.LongType()) for x in ("anchor", "block", "block2", "id", "key")] + [T.StructField(x, T.IntegerType()) for x in ("start", "left", "size")] + [T.StructField("gone", T.BooleanType())])
+
+
+def _find(length: int, seed: int, part_bytes: int = PART_BYTES):
     """Blocks of each text; gone: an earlier text of the same slice has the same block."""
 
     def run(batches):
@@ -77,26 +85,38 @@ def _find(length: int, seed: int):
             for part in pieces(batch, "text", 1_000_000):
                 ids, keys = part.column(0).to_numpy(), part.column(1).to_numpy()
                 data, offsets = text_bytes(part.column(2))
-                anchor, block, row, start, at, end = blocks_of(data, offsets, length, seed)
-                order = np.lexsort((start, keys[row], ids[row]))
-                _, first = np.unique(mixed(anchor[order]) + block[order] * np.uint64(0xA0761D6478BD642F), return_index=True)
-                gone = np.ones(len(order), bool)
-                gone[order[first]] = False
-                # those are settled: they only travel, so they travel anywhere
-                anchor = np.where(gone, mixed(anchor + start.astype(np.uint64)), anchor)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(anchor.view(np.int64)),
-                        pa.array(block.view(np.int64)),
-                        pa.array(ids[row]),
-                        pa.array(keys[row]),
-                        pa.array((start - offsets[row]).astype(np.int32)),
-                        pa.array((at - start).astype(np.int32)),
-                        pa.array((end - start).astype(np.int32)),
-                        pa.array(gone),
-                    ],
-                    names=_FOUND.names,
-                )
+                if len(data) <= part_bytes:
+                    yield found(ids, keys, data, offsets, 0)
+                    continue
+                for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
+                    for c in range(a, max(b - length + 1, a + 1), part_bytes):
+                        d = min(c + part_bytes + length - 1, b)
+                        yield found(ids[i : i + 1], keys[i : i + 1], data[c:d], np.array([0, d - c]), c - a)
+
+    def found(ids: np.ndarray, keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, base: int) -> pa.RecordBatch:
+        anchor, row, start, at, end = blocks_of(data, offsets, length, seed)
+        block = digests(data, start, end)
+        order = np.lexsort((start, keys[row], ids[row]))
+        _, first, which = np.unique(block[order, 0], return_index=True, return_inverse=True)
+        gone = np.ones(len(order), bool)
+        gone[order[first]] = False
+        gone[order] &= block[order, 1] == block[order[first], 1][which]  # the first of equal halves need not be equal
+        # those are settled: they only travel, so they travel anywhere
+        anchor = np.where(gone, mixed(anchor + start.astype(np.uint64)), anchor)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(anchor.view(np.int64)),
+                pa.array(block[:, 0].view(np.int64)),
+                pa.array(block[:, 1].view(np.int64)),
+                pa.array(ids[row]),
+                pa.array(keys[row]),
+                pa.array((start - offsets[row] + base).astype(np.int32)),
+                pa.array((at - start).astype(np.int32)),
+                pa.array((end - start).astype(np.int32)),
+                pa.array(gone),
+            ],
+            names=_FOUND.names,
+        )
 
     return run
 
@@ -104,7 +124,7 @@ def _find(length: int, seed: int):
 def _settle(batches):
     """Of blocks sorted by anchor, block and place: all but the first of equal ones are gone; a block alone with its anchor is dropped."""
     held = None  # the last first block, whose follower is not yet known
-    last = (None, None)
+    last = (None, None, None)
     joined = False  # whether held has the anchor of an earlier first block
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -114,14 +134,14 @@ def _settle(batches):
             yield from settled.to_batches()
         if not t.num_rows:
             continue
-        a, b = t.column("anchor").to_numpy(), t.column("block").to_numpy()
+        a, b, c = (t.column(x).to_numpy() for x in ("anchor", "block", "block2"))
         new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        new[0] = (a[0], b[0]) != last
-        last = (a[-1], b[-1])
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+        new[0] = (a[0], b[0], c[0]) != last
+        last = (a[-1], b[-1], c[-1])
         repeats = t.filter(pa.array(~new))
         if repeats.num_rows:
-            yield from repeats.set_column(7, "gone", pa.array(np.ones(repeats.num_rows, bool))).to_batches()
+            yield from repeats.set_column(8, "gone", pa.array(np.ones(repeats.num_rows, bool))).to_batches()
         firsts = t.filter(pa.array(new))
         if held is not None:
             firsts = pa.concat_tables([held, firsts])
@@ -237,14 +257,33 @@ def resolve(anchors: np.ndarray, data: np.ndarray, offsets: np.ndarray, left: np
         p = spot[has]
         ahead = (order.prefix[p] - order.prefix[p - before]) * inverse[p - before]
         by_place = np.argsort(rank_of[has], kind="stable")
-        _, first = np.unique((mixed(ahead) + mixed(interval.astype(np.uint64)) * np.uint64(0xE7037ED1A0B428DB))[by_place], return_index=True)
+        key = (mixed(ahead) + mixed(interval.astype(np.uint64)) * np.uint64(0xE7037ED1A0B428DB))[by_place]
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
         again = np.ones(len(has), bool)
         again[by_place[first]] = False
+        # what comes after the anchor is checked; now what lies before it
+        of, later = by_place[first][which], by_place
+        if not same_bytes(data, p[later] - before, p[of] - before, before) or (interval[later] != interval[of]).any():
+            seen: set = set()  # a collision: by the bytes themselves
+            for k in by_place.tolist():
+                x = (int(interval[k]), order.raw[p[k] - before : p[k]])
+                again[k] = x in seen
+                seen.add(x)
         rows.append(line_of[has[again]])
         firsts.append(left_of[has[again]] - before)
     return (np.concatenate(rows), np.concatenate(firsts)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def same_bytes(data: np.ndarray, one: np.ndarray, two: np.ndarray, n: int, at_once: int = 1 << 22) -> bool:
+    """Whether the n bytes from each place of one are those from its place of two."""
+    apart = np.flatnonzero(one != two)
+    if not n or not len(apart):
+        return True
+    columns = np.arange(n)[None, :]
+    rows = max(1, at_once // n)
+    return all((data[one[w][:, None] + columns] == data[two[w][:, None] + columns]).all() for k in range(0, len(apart), rows) for w in [apart[k : k + rows]])
+
+
 _OUT = T.StructType([T.StructField(x, T.LongType()) for x in ("id", "key")] + [T.StructField(x, T.IntegerType()) for x in ("first", "last")] + [T.StructField(x, T.LongType()) for x in ("h", "g")])
 
 
@@ -276,7 +315,7 @@ def _resolve(length: int, at_once: int, crowd: int):
         row = np.repeat(np.arange(len(ids)), n)
         inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         s = offsets[row] + inside
-        h, g = span_hashes(data, s, s + length), span_hashes(data, s, s + length, second=True)
+        h, g = np.ascontiguousarray(digests(data, s, s + length).T)
         a = (start[row] + inside).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(keys[row]), pa.array(a), pa.array(a + np.int32(length - 1)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], names=_OUT.names)
 
@@ -319,14 +358,14 @@ def _resolve(length: int, at_once: int, crowd: int):
     return run
 
 
-def _apply(names: list[str], whole: bool):
+def _apply(names: list[str], whole: bool, spans_of: str):
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text", 1_000_000):
                 name = part.schema.get_field_index
                 data, offsets = text_bytes(part.column(name("text")))
                 raw = memoryview(data.tobytes())
-                lists = part.column(name("_gone"))
+                lists = part.column(name(spans_of))
                 size, removed, spans, kept = [], [], [], []
                 for i in range(len(part)):
                     a, b = int(offsets[i]), int(offsets[i + 1])
@@ -361,7 +400,7 @@ def _apply(names: list[str], whole: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, whole: bool = True, seed: int = SEED, at_once: int = AT_ONCE, crowd: int = CROWD) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, whole: bool = True, seed: int = SEED, at_once: int = AT_ONCE, crowd: int = CROWD, part_bytes: int = PART_BYTES) -> DataFrame:
     """docs with n_bytes, n_removed and, if whole, spans and kept bytes, else n_spans and kept_sha256.
 
     A byte of a text is removed if it is in a string of `length` bytes that also starts
@@ -376,12 +415,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole: bool = True, se
     span = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
     added += [T.StructField("spans", span), T.StructField("kept", T.BinaryType())] if whole else [T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     docs = docs.drop(*(f.name for f in added))
-    keyed = docs.withColumns({"_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_k": F.xxhash64(F.coalesce("text", F.lit("")))})
-    own = keyed.select(F.col("_i").alias("id"), F.col("_k").alias("key"), "text")
-    if not own.groupBy("id", "key").count().filter("count > 1").isEmpty():
+    i, k, id_, key_, gone_ = unused(docs, "_i", "_k", "_id", "_key", "_gone")
+    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    # rows that share a doc_id are told apart by a hash of the text; where none do, that is 0 and takes no room
+    shared = not docs.groupBy(id_of).count().filter("count > 1").isEmpty()
+    keyed = docs.withColumns({i: id_of, k: F.xxhash64(F.coalesce("text", F.lit(""))) if shared else F.lit(0).cast("long")})
+    own = keyed.select(F.col(i).alias("id"), F.col(k).alias("key"), "text")
+    if shared:
         own = own.dropDuplicates(["id", "key"])  # equal rows: one stands for all
-    found = over_batches(own, _find(length, seed), _FOUND)
-    ordered = found.repartition("anchor").sortWithinPartitions("anchor", "block", "id", "key", "start")
+    found = over_batches(own, _find(length, seed, part_bytes), _FOUND)
+    ordered = found.repartition("anchor").sortWithinPartitions("anchor", "block", "block2", "id", "key", "start")
     settled = staged(over_batches(ordered, _settle, _FOUND), "blocks")
     gone = settled.filter("gone").select("id", "key", F.col("start").alias("first"), (F.col("start") + F.col("size") - 1).alias("last"))
 
@@ -396,9 +439,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole: bool = True, se
         later = single.join(least, ["h", "g"]).filter(F.struct("id", "key", "first") != F.col("least"))
         gone = gone.union(later.select("id", "key", "first", "last"))
 
-    lists = gone.groupBy("id", "key").agg(F.collect_list(F.struct("first", "last")).alias("_gone")).withColumnsRenamed({"id": "_id", "key": "_key"})
-    joined = keyed.join(lists.hint("shuffle_hash"), (F.col("_i") == F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
-    return over_batches(joined.select(*docs.columns, "_gone"), _apply(docs.columns, whole), T.StructType([*docs.schema.fields, *added]))
+    lists = gone.groupBy("id", "key").agg(F.collect_list(F.struct("first", "last")).alias(gone_)).withColumnsRenamed({"id": id_, "key": key_})
+    joined = keyed.join(lists.hint("shuffle_hash"), (F.col(i) == F.col(id_)) & (F.col(k) == F.col(key_)), "left")
+    return over_batches(joined.select(*docs.columns, gone_), _apply(docs.columns, whole, gone_), T.StructType([*docs.schema.fields, *added]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
