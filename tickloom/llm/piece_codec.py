@@ -267,8 +267,6 @@ def _coder(path: str, column: str, names: list[str], whole: bool):
                 checked = m.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
                 agrees = [x == y for x, y in zip(own, checked, strict=True)]
                 raw = [marked[a:b] for a, b in zip(at, at[1:], strict=False)]
-                for k in (k for k, ok in enumerate(agrees) if not ok):
-                    own[k], raw[k] = checked[k], np.array(checked[k], "<u4")
                 decoded = m.library.decode(own, num_threads=1)
                 if whole:
                     new = [pa.array([x.astype(np.int32) for x in raw], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
@@ -283,8 +281,8 @@ def _coder(path: str, column: str, names: list[str], whole: bool):
 def encode_decode(docs: DataFrame, path: str, whole: bool = True, text: str = "text") -> DataFrame:
     """docs with n_tokens, ids and decoded text (whole) or their digests, and agenda_agrees.
 
-    Begin and end ids are part of ids. agenda_agrees: the agenda gave what the library gives;
-    where it did not, ids are the library's. A null or empty text has those two ids only and
+    Begin and end ids are part of ids, which are the agenda's in any case. agenda_agrees tells
+    whether the library gives the same. A null or empty text has those two ids only and
     decodes to an empty text. Repeated rows get equal results; an empty table stays empty.
     Columns of docs with one of the new names are replaced.
     """
