@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, h long, key string, spans string, n_words int"
+#: Names that operators use themselves, or might.
+CLASHES = ["_i", "_id", "_k", "_key", "_w", "_lang", "_gone", "_b", "_body", "_runs", "_row", "_t", "_classes", "_common", "_rows", "_is", "_matches", "_items", "id", "body", "node", "cid", "label", "base_failed", "kept"]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, h long, key string, spans string, n_words int, " + ", ".join(f"{x} long" for x in CLASHES)
 
 
 def _sentences(rnd: random.Random, n: int) -> str:
@@ -26,7 +28,7 @@ def _documents() -> list[tuple]:
     rows = [(k, t) for k, t in enumerate(texts)]
     rows += [(None, base[2]), (None, None), rows[9], rows[9], (7, "another text under a used number " + passage), (-5, base[4])]
     rnd.shuffle(rows)
-    return [(i, t, rnd.choice(["en", "fr", None]), rnd.choice(["s0", None]), None, 1, "k", "s", 3) for i, t in rows]
+    return [(i, t, rnd.choice(["en", "fr", None]), rnd.choice(["s0", None]), None, 1, "k", "s", 3, *range(100, 100 + len(CLASHES))) for i, t in rows]
 
 
 @pytest.fixture(scope="session")
