@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontaminate, jaccard, line_dedup, piece_codec, quality
-from tickloom.llm.common import staged, table
+from tickloom.llm.common import mark, staged, swept, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,9 @@ def no_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids."""
-    return piece_codec.encode_decode(docs, piece_codec.vocabulary()).drop("decoded")
+    """The documents with their token ids, and the digest of what these decode to."""
+    coded = piece_codec.encode_decode(docs, piece_codec.vocabulary())
+    return coded.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -56,7 +57,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        since = mark()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = staged(docs, name)
+            swept(spark, since, keep=docs)  # what the stage has written on its way
     return docs
