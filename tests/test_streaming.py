@@ -111,3 +111,151 @@ def test_ticks_as_bars(spark, tmp_path):
     want = B.ticks_to_bars(df, "5m", execution_id="execution_id").df
     got = spark.table("tick_bars").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert rows_of(got) == rows_of(want)
+
+
+@pytest.mark.parametrize("operate", [lambda b: b.ema(5).rsi(3), lambda b: b.sma(5).sma(3), lambda b: b.fractal()], ids=["chain", "bounded", "fractal"])
+def test_restart_between_any_two_batches(spark, tmp_path, operate):
+    """Each batch is taken by a new process, so to say: the folder is all that it has."""
+    rows = walk(40) + walk(30, "b", 2)
+    order = rows[:]
+    random.Random(6).shuffle(order)
+    state: dict = {}
+    for k in range(0, len(order), 25):
+        live = Live(spark, operate, str(tmp_path))
+        if k == 50:
+            live.compacted()
+        for r in live.push(spark.createDataFrame(order[k : k + 25], BAR)).collect():
+            if r.kind == "upsert":
+                state[r.series_key, r.ts] = tuple(r)[:-1]
+            else:
+                del state[r.series_key, r.ts]
+    whole = rows_of(operate(Series(spark.createDataFrame(rows, BAR))).df)
+    assert rows_of(Live(spark, operate, str(tmp_path)).results()) == whole
+    assert sorted(state.values(), key=lambda x: x[:2]) == whole
+
+
+def test_bounded_operators_read_the_rows_around_a_change(spark, tmp_path):
+    rows = walk(300)
+    seen = []
+
+    def operate(b):
+        seen.append(b.df)
+        return b.sma(4)
+
+    live = Live(spark, operate, str(tmp_path))
+    live.push(spark.createDataFrame(rows[:299], BAR))
+    live.push(spark.createDataFrame(rows[299:], BAR)).collect()
+    assert seen[-1].count() < 60
+
+
+def test_all_listed_streams_after_a_restart(spark, tmp_path):
+    """Every operator that the catalog lists as a stream, but for those with rows of their own, in one go."""
+    from tickloom.plans import catalog
+    from tickloom.plans.spec import REQUIRED
+
+    ops = [x.operator for x in catalog.listings("stream") if x.operator.tier != "pair" and not x.operator.reshapes]
+    wanted = {op.id.lower().replace("-", "_"): (op.id, {p.name: p.shown for p in op.params if p.default is REQUIRED}) for op in ops}
+    assert len(wanted) >= 70
+    operate = lambda b: Series(b.indicators(wanted))
+    rows = walk(90)
+    for part in (rows[:60], rows[70:], rows[60:70]):  # bars are kept whatever the operator
+        Live(spark, lambda b: b.sma(3), str(tmp_path)).push(spark.createDataFrame(part, BAR))
+    assert rows_of_repr(Live(spark, operate, str(tmp_path)).results()) == rows_of_repr(operate(Series(spark.createDataFrame(rows, BAR))).df)
+
+
+def rows_of_repr(df):
+    return sorted(repr(tuple(r)) for r in df.collect())
+
+
+def test_bricks_outlive_their_bars(spark, tmp_path):
+    rows = walk(60)
+    live = Live(spark, lambda b: b.renko(2.0), str(tmp_path), max_cache=5, keep_results=True)
+    live.push(spark.createDataFrame(rows, BAR))
+    assert rows_of(live.results()) == rows_of(Series(spark.createDataFrame(rows, BAR)).renko(2.0).df)
+
+
+def test_ranges_are_removed(spark, tmp_path):
+    rows = walk(20)
+    live = Live(spark, lambda b: b.sma(3), str(tmp_path))
+    live.push(spark.createDataFrame(rows, BAR))
+    gone = live.remove_range(rows[0][0], rows[12][1], rows[14][1]).collect()
+    assert {r.ts for r in gone if r.kind == "delete"} == {rows[k][1] for k in (12, 13, 14)}
+    live.remove_range(rows[0][0], rows[16][1])
+    assert rows_of(live.reinitialize()) == rows_of(Series(spark.createDataFrame(rows[:12] + rows[15:16], BAR)).sma(3).df)
+
+
+def test_a_cache_must_hold_a_frame(spark, tmp_path):
+    with pytest.raises(ValueError, match="at least 20"):
+        Live(spark, lambda b: b.sma(20), str(tmp_path), max_cache=19)
+
+
+def test_sinks_do_not_see_each_others_failures(spark, tmp_path):
+    source, rows = tmp_path / "in", walk(12)
+    spark.createDataFrame(rows, BAR).coalesce(1).write.parquet(str(source))
+    stream = spark.readStream.schema(BAR).parquet(str(source))
+    got, told = [], []
+
+    def broken(df, batch):
+        raise RuntimeError("no")
+
+    live = Live(spark, lambda b: b.sma(3), str(tmp_path / "state"))
+    q = live.start(stream, [broken, lambda df, batch: got.append(df.count())], str(tmp_path / "check"), on_error=lambda k, e: told.append((k, str(e))))
+    q.processAllAvailable()
+    q.stop()
+    assert got == [12] and told == [(0, "no")] and list(live.failures) == [0]
+
+
+def test_bars_as_larger_bars_with_corrections_and_gaps(spark):
+    from tickloom.streaming.ticks import Buckets
+
+    rnd = random.Random(3)
+    step = 3600 * 1_000_000
+    base = [(START + dt.timedelta(minutes=10 * k), *sorted((float(rnd.randint(1, 99)), float(rnd.randint(1, 99)))), float(k)) for k in range(300) if not 40 <= k < 70 and not 150 <= k < 158]
+    bars = {t: ("a", t, lo, hi, lo, hi, v) for t, lo, hi, v in base}
+    micros = lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    order = list(bars.values())
+    rnd.shuffle(order)
+    order += [(*r[:5], r[5], r[6] + 5) for r in order[:20]]  # corrected
+    removed = [r[1] for r in order[30:36]]
+    for fill in (False, True):
+        held, shown = Buckets(), {}
+        feed = [((str(r[1]),), micros(r[1]), "upsert", r[2:]) for r in order] + [((str(t),), micros(t), "delete", (0.0,) * 5) for t in removed]
+        for k in range(0, len(feed), 17):
+            for at, kind, bar in held.take(feed[k : k + 17], step, fill, 10_000):
+                if kind == "upsert":
+                    shown[at] = bar
+                else:
+                    del shown[at]
+        left = {r[1]: r for r in order if r[1] not in removed}
+        want = B.resample(Series(spark.createDataFrame(list(left.values()), BAR)), "1h")
+        want = B.fill_gaps(want, "1h") if fill else want
+        assert {micros(r.ts): tuple(r)[2:] for r in want.df.collect()} == shown
+
+
+def test_pruned_buckets_keep_the_last_close():
+    from tickloom.streaming.ticks import Buckets
+
+    held, shown = Buckets(), {}
+    step = 60 * 1_000_000
+    for k in (0, 1, 2, 5, 9, 12):
+        for at, _, bar in held.take([(None, k * step, "upsert", (k, k, k, float(k), 1.0))], step, True, 2):
+            shown[at // step] = bar
+    assert len(held.parts) == 2 and held.take([(None, 0, "upsert", (9,) * 5)], step, True, 2) == []
+    assert [shown[k][3] for k in range(13)] == [0, 1, 2, 2, 2, 5, 5, 5, 5, 9, 9, 9, 12]
+
+
+def test_streamed_ticks_with_corrections(spark, tmp_path):
+    schema = "series_key string, ts timestamp_ntz, price double, volume double, execution_id string"
+    source = str(tmp_path / "in")
+    at = lambda m: START + dt.timedelta(minutes=m)
+    for rows in ([("a", at(0), 5.0, 1.0, "x"), ("a", at(1), 7.0, 1.0, "y"), ("a", at(1), 6.0, 1.0, None)], [("a", at(1), 9.0, 2.0, "y"), ("a", at(11), 4.0, 1.0, "z")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    seen: dict = {}
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    sink = lambda df, batch: seen.update({r.ts: tuple(r)[2:] for r in df.collect()})
+    from tickloom.streaming.ticks import stream_ticks
+
+    q = stream_ticks(stream, "5m", fill_gaps=True).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "check")).foreachBatch(sink).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(x[:5] for x in seen.values()) == sorted([(5.0, 9.0, 5.0, 9.0, 4.0), (9.0, 9.0, 9.0, 9.0, 0.0), (4.0, 4.0, 4.0, 4.0, 1.0)])

@@ -42,6 +42,8 @@ class Series:
     value: str | None = None
     #: The operator that made this, if one did, and its parameters.
     made_by: Bound | None = None
+    #: All operators since the bars, in order.
+    chain: tuple[Bound, ...] = ()
 
     @property
     def is_bars(self) -> bool:
@@ -70,7 +72,7 @@ class Series:
         if op.id == "VWAP" and bound.params["start_date"] is not None:
             _check_start(self, bound.params["start_date"])
         done = op.build(self._stage(bound), **bound.params).ready()
-        return Series(done.df.select(self.key, self.ts, *op.outputs), self.key, self.ts, op.value, bound)
+        return Series(done.df.select(self.key, self.ts, *op.outputs), self.key, self.ts, op.value, bound, (*self.chain, bound))
 
     def __getattr__(self, name: str) -> Callable[..., Series]:
         if name.startswith("_") or name.upper().replace("_", "-") not in REGISTRY:
@@ -149,6 +151,10 @@ class Series:
             return replace(self, df=df.filter(F.col("_i") >= n).drop("_i", "_first"))
         return replace(self, df=df.withColumn("_first", F.coalesce(first, F.lit(0))).filter(F.col("_i") >= F.col("_first")).drop("_i", "_first"))
 
+    def in_order(self) -> DataFrame:
+        """The rows by series and time."""
+        return self.df.orderBy(self.key, self.ts)
+
     def find(self, at: Any) -> DataFrame:
         """The row at one time of each series."""
         return self.df.filter(F.col(self.ts) == F.lit(at).cast(dict(self.df.dtypes)[self.ts]))

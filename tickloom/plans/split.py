@@ -36,11 +36,21 @@ def reach(bound: Bound) -> tuple[int, int]:
     return n, n if bound.operator.repaints else 0
 
 
+def is_bounded(bound: Bound) -> bool:
+    return bound.operator.id in BOUNDED and bound.params.get("moving_average_type", "SMA") == "SMA"
+
+
+def longest_frame(bound: Bound) -> int:
+    """Rows that a stream must keep, at least, for one result."""
+    return max((abs(v) for v in bound.params.values() if isinstance(v, int) and not isinstance(v, bool)), default=1)
+
+
 def _table(df: DataFrame) -> DataFrame:
     """df as a table in the folder that the cluster shares, read again."""
     spark: SparkSession = df.sparkSession
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:  # tests on one machine
+        need(spark.sparkContext.master.startswith("local"), "spark.checkpoint.dir must name a folder that the cluster shares")
         shared = tempfile.mkdtemp(prefix="tickloom-")
         atexit.register(shutil.rmtree, shared, True)
     path = f"{shared.rstrip('/')}/split-{uuid.uuid4().hex}"
@@ -62,7 +72,7 @@ def indicator_in_parts(series: Series, id: str, *args: Any, rows: int = 1_000_00
     """Series.indicator() for bounded operators, with `rows` rows of a series in each part."""
     bound = Bound.of(id, *args, **params)
     op = bound.operator
-    need(op.id in BOUNDED and bound.params.get("moving_average_type", "SMA") == "SMA", f"{op.id} depends on a whole series")
+    need(is_bounded(bound), f"{op.id} depends on a whole series")
     before, after = reach(bound)
     need(rows > 0, "rows must be positive")
     if op.needs == "bars":

@@ -1,20 +1,29 @@
-"""Streams of trade ticks as bars."""
+"""Streams of trade ticks, or of bars, as larger bars."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..plans.series import OHLCV
 from ..plans.spec import need
 from ..sources.bars import _ANCHOR, seconds_of
 
 
-def stream_bars(ticks: DataFrame, interval: str | int, lateness: str = "1 hour", execution_id: str | None = "execution_id") -> DataFrame:
+def stream_bars(ticks: DataFrame, interval: str | int, lateness: str = "1 hour", execution_id: str | None = "execution_id", order: list[str] | None = None) -> DataFrame:
     """Bars of a stream of (series_key, ts, price, volume), growing until the watermark passes them.
 
     In update mode each batch shows the bars that it has changed, the unfinished one
     included; in append mode a bar comes once, when it can no longer change. A repeated
-    execution id counts once within `lateness`; later ticks than that are dropped.
+    execution id counts once within `lateness`; later ticks than that are dropped. order:
+    columns that settle which of equal times comes first.
     """
     seconds = seconds_of(interval)
     need(seconds > 0, "a month has no fixed length")
@@ -24,6 +33,119 @@ def stream_bars(ticks: DataFrame, interval: str | int, lateness: str = "1 hour",
     else:
         ticks = ticks.withWatermark("ts", lateness)
     window = F.window("ts", f"{seconds} seconds", f"{seconds} seconds", f"{_ANCHOR % seconds} seconds")
-    price = F.col("price").cast("double")
-    grouped = ticks.groupBy(F.col("series_key"), window).agg(F.min_by(price, "ts").alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, "ts").alias("close"), F.sum(F.col("volume").cast("double")).alias("volume"))
+    price, place = F.col("price").cast("double"), F.struct("ts", *(order or []))
+    grouped = ticks.groupBy(F.col("series_key"), window).agg(F.min_by(price, place).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, place).alias("close"), F.sum(F.col("volume").cast("double")).alias("volume"))
     return grouped.select("series_key", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume")
+
+
+@dataclass
+class Buckets:
+    """The bars of one series that can still change, and what they are made of.
+
+    parts: bucket -> identity -> (time, arrival, open, high, low, close, volume); shown: the
+    bars that have been given, those between two others included.
+    """
+
+    parts: dict[int, dict[Any, tuple]] = field(default_factory=dict)
+    shown: dict[int, tuple] = field(default_factory=dict)
+    where: dict[Any, int] = field(default_factory=dict)
+    arrivals: int = 0
+    #: The end of what is pruned, and the last close before it.
+    pruned: int | None = None
+    close: float | None = None
+
+    def take(self, rows: list[tuple[Any, int, str, tuple]], step: int, fill: bool, most: int) -> list[tuple[int, str, tuple | None]]:
+        """rows of (identity or None, time, op, five numbers) -> (bucket, kind, bar) of the bars that they change."""
+        changed: set[int] = set()
+        for identity, at, op, numbers in rows:
+            bucket = at - (at - _ANCHOR * 1_000_000) % step
+            self.arrivals += 1
+            if identity is None:
+                identity = ("", self.arrivals)
+            else:
+                old = self.where.get(identity)
+                if old is not None:  # a correction: what came before is no more
+                    self.parts[old].pop(identity)
+                    del self.where[identity]
+                    changed.add(old)
+            if op == "delete" or self.pruned is not None and bucket < self.pruned:
+                continue
+            self.parts.setdefault(bucket, {})[identity] = (at, self.arrivals, *numbers)
+            if identity[0] != "":
+                self.where[identity] = bucket
+            changed.add(bucket)
+        if not changed:
+            return []
+        for bucket in [b for b in changed if not self.parts.get(b)]:
+            self.parts.pop(bucket, None)
+        full = sorted(self.parts)
+        start = max((b for b in full if b < min(changed)), default=min(changed))
+        bars: dict[int, tuple] = {}
+        last = self.shown[start][3] if start < min(changed) and start in self.shown else self.close
+        at = start if start < min(changed) or self.pruned is None else self.pruned
+        for bucket in (b for b in full if b >= start):
+            if fill and last is not None:
+                for between in range(at + step if at in self.parts else at, bucket, step):
+                    bars[between] = (last, last, last, last, 0.0)
+            rows_of = sorted(self.parts[bucket].values())
+            bars[bucket] = (rows_of[0][2], max(r[3] for r in rows_of), min(r[4] for r in rows_of), rows_of[-1][5], sum(r[6] for r in rows_of))
+            last, at = bars[bucket][3], bucket
+        out: list[tuple] = [(b, "upsert", bar) for b, bar in sorted(bars.items()) if self.shown.get(b) != bar]
+        out += [(b, "delete", None) for b in sorted(self.shown) if b >= start and b not in bars]
+        self.shown = {b: bar for b, bar in self.shown.items() if b < start} | bars
+        if len(full) > most:
+            keep = full[-most]
+            self.close = self.shown[full[-most - 1]][3]
+            self.pruned = self.shown and full[-most - 1] + step
+            self.parts = {b: p for b, p in self.parts.items() if b >= keep}
+            self.shown = {b: bar for b, bar in self.shown.items() if b >= self.pruned}
+            self.where = {k: b for k, b in self.where.items() if b >= keep}
+        return out
+
+
+def _aggregated(rows: DataFrame, interval: str | int, fill_gaps: bool, max_buckets: int) -> DataFrame:
+    """rows: series_key, ts, identity, op and the five numbers."""
+    seconds = seconds_of(interval)
+    need(seconds > 0, "a month has no fixed length")
+    need(max_buckets >= 2, "at least two bars must be kept")
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pickle.loads(state.get[0]) if state.exists else Buckets()
+        frame = pd.concat(list(parts)).sort_values(["ts", "identity"], kind="stable")
+        micros = frame["ts"].astype("datetime64[us]").astype("int64").tolist()
+        numbers = [tuple(float(x) for x in r) for r in frame[OHLCV].itertuples(index=False)]
+        identities = [None if x is None or x != x else (x,) for x in frame["identity"]]
+        made = held.take(list(zip(identities, micros, frame["op"], numbers, strict=True)), seconds * 1_000_000, fill_gaps, max_buckets)
+        state.update((pickle.dumps(held),))
+        if made:
+            bars = [m[2] or (None,) * 5 for m in made]
+            yield pd.DataFrame({"series_key": key[0], "ts": pd.to_datetime([m[0] for m in made], unit="us"), **{c: pd.Series([b[k] for b in bars], dtype=object) for k, c in enumerate(OHLCV)}, "kind": [m[1] for m in made]})
+
+    schema = "series_key string, ts timestamp_ntz, open double, high double, low double, close double, volume double, kind string"
+    return rows.groupBy("series_key").applyInPandasWithState(update, schema, "state binary", "update", GroupStateTimeout.NoTimeout)
+
+
+def stream_resample(bars: DataFrame, interval: str | int, fill_gaps: bool = False, max_buckets: int = 10_000) -> DataFrame:
+    """Larger bars of a stream of bars, in update mode, each batch giving those that it changes.
+
+    A bar that comes again replaces the one of its time, with op = delete it goes; late bars
+    change theirs, as long as it is one of the last max_buckets. The last bar is partial and
+    comes again as it grows. fill_gaps: an empty bar between two others has no volume and
+    the close before it. kind is upsert, or delete for a bar that is no more.
+    """
+    op = F.col("op") if "op" in bars.columns else F.lit("upsert")
+    rows = bars.select("series_key", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("ts").cast("timestamp_ntz").cast("string").alias("identity"), op.alias("op"), *(F.col(c).cast("double").alias(c) for c in OHLCV))
+    return _aggregated(rows, interval, fill_gaps, max_buckets)
+
+
+def stream_ticks(ticks: DataFrame, interval: str | int, fill_gaps: bool = False, max_buckets: int = 10_000, execution_id: str = "execution_id") -> DataFrame:
+    """Bars of a stream of ticks with corrections, in update mode, each batch giving those that it changes.
+
+    A tick whose execution id has come before replaces the earlier one, with op = delete it
+    goes; ticks without one all count. All else is as in stream_resample().
+    """
+    op = F.col("op") if "op" in ticks.columns else F.lit("upsert")
+    price, named = F.col("price").cast("double"), F.col(execution_id)
+    identity = F.when(named != "", named.cast("string"))
+    rows = ticks.select("series_key", F.col("ts").cast("timestamp_ntz").alias("ts"), identity.alias("identity"), op.alias("op"), *(price.alias(c) for c in OHLCV[:4]), F.col("volume").cast("double").alias("volume"))
+    return _aggregated(rows, interval, fill_gaps, max_buckets)
