@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tickloom.functions import kernels as K
-from tickloom.operators.patterns import Bricks, exact, zigzag_rows
+from tickloom.operators.patterns import Bricks, Swings, exact
 from tickloom.plans import catalog
 from tickloom.plans.series import Series, pair
 from tickloom.plans.spec import REGISTRY, Bound
@@ -120,6 +120,22 @@ def test_bricks_share_volume_and_keep_decimals():
     assert [m[4] for m in made] == [1.1, 1.2, 1.3] and all(m[5] == 3.0 and m[2:4] == (1.35, 0.9) for m in made)
 
 
+def zigzag_rows(high, low, close, percent):
+    swings = Swings(exact(percent) / 100)
+    made = [m for row in zip(high, low, close, strict=True) for m in swings.push(*row)]
+    return made + swings.finish()
+
+
+def test_zig_zag_holds_the_last_legs_only():
+    rnd, price, most = random.Random(7), 100.0, 0
+    swings = Swings(exact(5) / 100)
+    for _ in range(20_000):
+        price *= 1 + rnd.gauss(0, 0.01)
+        swings.push(price, price, price)
+        most = max(most, len(swings.rows))
+    assert most < 1_000
+
+
 def test_zig_zag_turns():
     prices = [100, 103, 110, 108, 104, 99, 101, 106, 112, 111]
     rows = zigzag_rows(prices, prices, prices, 5)

@@ -43,8 +43,7 @@ def donchian(s: Stage, lookback_periods: int) -> Stage:
 def fractal_columns(s: Stage, left: int, right: int, end_type: str) -> Stage:
     """_bear and _bull: a high (or low) beyond all of the rows beside it; null near both ends."""
     high, low = ("close", "close") if end_type == "close" else ("high", "low")
-    n = F.count(F.lit(1)).over(s.all)
-    inside = (s.i >= left) & (s.i + right < n)
+    inside = (s.i >= left) & s.has(right)
     before, after = s.rows(-left, -1), s.rows(1, right)
     bear = inside & (F.col(high) > F.max(high).over(before)) & (F.col(high) > F.max(high).over(after))
     bull = inside & (F.col(low) < F.min(low).over(before)) & (F.col(low) < F.min(low).over(after))
@@ -113,8 +112,8 @@ def stdev_channels(s: Stage, lookback_periods: int, std_deviations: float) -> St
     from pyspark.sql import Window
 
     n = lookback_periods
-    count = F.count(F.lit(1)).over(s.all)
-    s = s.add(_part=F.floor((count - 1 - s.i) / n), _whole=F.floor(count / n), _y=s.v)
+    s = s.summed(_count=F.count(F.lit(1)))
+    s = s.add(_part=F.floor((F.col("_count") - 1 - s.i) / n), _whole=F.floor(F.col("_count") / n), _y=s.v)
     part = Window.partitionBy(s.key, "_part")
     x = (s.i + 1).cast("double")
     s = s.add(_slope=F.regr_slope(F.col("_y"), x).over(part), _base=F.regr_intercept(F.col("_y"), x).over(part), _sd=F.stddev_pop("_y").over(part), _first=F.min("_i").over(part))

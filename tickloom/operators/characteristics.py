@@ -40,9 +40,10 @@ def slope(s: Stage, lookback_periods: int) -> Stage:
     spread_x = ((n * n - 1) / 12) ** 0.5
     root = F.try_divide(F.col("slope") * F.lit(spread_x), F.col("std_dev"))
     s = s.give(r_squared=root * root)
-    count = F.count(F.lit(1)).over(s.all)
-    line = F.last("slope").over(s.all) * (s.i + 1) + F.last("intercept").over(s.all)
-    return s.give(line=F.when((s.i >= count - n) & (count >= n), line))
+    # of the last n rows the frame ends with the series, and so with the last line
+    to_end = s.rows(0, n - 1)
+    line = F.last("slope").over(to_end) * (s.i + 1) + F.last("intercept").over(to_end)
+    return s.give(line=F.when(~s.has(n) & (F.last("_i").over(to_end) >= n - 1), line))
 
 
 @operator("SMA-ANALYSIS", "Simple Moving Average Analysis", CATEGORY, [periods(low=1, shown=20)], outputs=["sma", "mad", "mse", "mape"], value="sma", check=at_least(1))

@@ -158,77 +158,140 @@ def renko(s: Stage, brick_size: float, end_type: str) -> Stage:
 def renko_atr(s: Stage, atr_periods: int, end_type: str) -> Stage:
     """Bricks as large as the last average range of the series; none if that is missing or zero."""
     s = s.fold(HLC, ["_tr", "_atr", "_atrp"], lambda: K.atr(atr_periods)).ready()
-    s = s.add(_size=F.last("_atr").over(s.all))
+    s = s.summed(_size=F.max_by("_atr", s.ts))
     return _brick_rows(s, lambda row: exact(row["_size"]) if row["_size"] else None, end_type_of(end_type) == "high_low", [*HLC, "volume", "_size"])
 
 
-def zigzag_rows(high: list[float], low: list[float], close: list[float], percent: float) -> list[tuple]:
-    """(line, kind of point, upper and lower retrace line) of each row of a whole series."""
-    n = len(close)
-    h, lo = [exact(x) for x in high], [exact(x) for x in low]
-    limit = exact(percent) / 100
-    line: list = [None] * n
-    kind: list = [None] * n
-    retrace: dict[str, list] = {"H": [None] * n, "L": [None] * n}
-    # the first swing that is large enough, from either end of the first row
-    point = (0, exact(close[0]), "U")
-    peaks = {"H": (0, h[0]), "L": (0, lo[0])}
-    for i in range(n):
-        up = (h[i] - lo[0]) / lo[0] if lo[0] else None
-        down = (h[0] - lo[i]) / h[0] if h[0] else None
-        if up is not None and up >= limit and (down is not None and up > down):
-            point = (0, lo[0], "L")
-            break
-        if down is not None and down >= limit and (up is not None and down > up):
-            point = (0, h[0], "H")
-            break
-    while point[0] < n - 1:
-        at, value, direction = point
-        rising = direction == "L"
-        best, best_value, best_kind = at, value, "H" if rising else "L"
-        for i in range(at + 1, n):
-            change = Decimal(0)
-            if rising and h[i] >= best_value or not rising and lo[i] <= best_value:
-                best, best_value = i, h[i] if rising else lo[i]
-            elif best_value:
-                change = (best_value - lo[i]) / best_value if rising else (h[i] - best_value) / best_value
-            else:
-                change = Decimal(-1)
-            if change >= limit:
-                break
-            if i == n - 1:
-                best, best_value, best_kind = i, h[i] if rising else lo[i], None
-        if best > at:
-            step = (best_value - value) / (best - at)
-            for i in range(at + 1, best + 1):
-                line[i] = value + step * (i - at) if at != 0 or i == best else None
-            kind[best] = best_kind
-        if direction in ("L", "H"):
-            side = "H" if direction == "L" else "L"
-            prior_at, prior = peaks[side]
-            peaks[side] = (best, best_value)
-            if prior_at != 0 and best != prior_at:
-                step = (best_value - prior) / (best - prior_at)
-                for i in range(prior_at, best + 1):
-                    retrace[side][i] = prior + step * (i - prior_at)
-        point = (best, best_value, best_kind)
-    number = lambda x: None if x is None else float(x)
-    return [(number(line[i]), kind[i], number(retrace["H"][i]), number(retrace["L"][i])) for i in range(n)]
+class Swings:
+    """Swings of one series, row by row, a row given out once no later one can change it.
+
+    A leg runs from its turning point to the most extreme price since; once prices come back
+    from there by the limit, that extreme is the next turning point and a new leg begins at
+    it, for which the rows since count from the start. Rows are held from the last but one
+    turning point on: lines between two points of one kind reach back that far.
+    """
+
+    def __init__(self, limit: Decimal):
+        self.limit = limit
+        self.base = 0  # number of the first row held
+        self.rows: list[tuple[Decimal, Decimal, Decimal]] = []
+        self.out: list[list] = []
+        self.legs: list[tuple[int, Decimal, bool | None]] = []  # the open leg's start: row, price, whether it rises
+        self.extreme: tuple[int, Decimal] = (0, Decimal(0))
+        self.next = 0  # the row that the open leg looks at next
+        self.last: dict[bool, tuple[int, Decimal]] = {}  # the last high (True) and low
+
+    def push(self, high: float, low: float, close: float) -> list[tuple]:
+        self.rows.append((exact(high), exact(low), exact(close)))
+        self.out.append([None, None, None, None])
+        if len(self.rows) == 1 and not self.base:
+            self.first = self.rows[0]
+            self.last = {True: (0, self.first[0]), False: (0, self.first[1])}
+        if not self.legs:
+            self._begin()
+        if self.legs:
+            self._follow()
+        return self._settled()
+
+    def finish(self) -> list[tuple]:
+        """The rows that are left: the open leg ends at the last row."""
+        end = self.base + len(self.rows) - 1
+        if not self.legs and end > 0:
+            self._start((0, self.first[2], None))
+            self._follow()
+        if self.legs and self.legs[-1][0] < end:
+            high, low, _ = self.rows[end - self.base]
+            self._draw(end, high if self.legs[-1][2] else low, None)
+        return self._given(len(self.rows))
+
+    def _begin(self) -> None:
+        """The first move of the limit away from the first row, the larger one of two, tells which way the first leg runs."""
+        high, low, _ = self.rows[-1]
+        top, bottom = self.first[:2]
+        if not top or not bottom:
+            return
+        up, down = (high - bottom) / bottom, (top - low) / top
+        if max(up, down) >= self.limit and up != down:
+            self._start((0, bottom, True) if up > down else (0, top, False))
+
+    def _start(self, leg: tuple[int, Decimal, bool | None]) -> None:
+        self.legs = [leg]
+        self.extreme, self.next = leg[:2], leg[0] + 1
+
+    def _follow(self) -> None:
+        """Take the open leg, and those that it gives way to, up to the newest row."""
+        while self.next < self.base + len(self.rows):
+            rises = bool(self.legs[-1][2])
+            high, low, _ = self.rows[self.next - self.base]
+            price, back = (high, low) if rises else (low, high)
+            at, best = self.extreme
+            if price >= best if rises else price <= best:
+                self.extreme = (self.next, price)
+            elif best and abs(best - back) / best >= self.limit and (back < best) == rises:
+                self._draw(at, best, rises)
+                self._start((at, best, not rises))
+                continue
+            self.next += 1
+
+    def _draw(self, at: int, price: Decimal, kind: bool | None) -> None:
+        """The open leg ends at a point: its line, and the line from the last point of the same side."""
+        start, value, rises = self.legs[-1]
+        if at > start:
+            step = (price - value) / (at - start)
+            for i in range(start + 1 if start else at, at + 1):
+                self.out[i - self.base][0] = float(value + step * (i - start))
+            self.out[at - self.base][1] = None if kind is None else "H" if kind else "L"
+        if rises is None:
+            return
+        before, was = self.last[rises]
+        self.last[rises] = (at, price)
+        if before and at != before:
+            step = (price - was) / (at - before)
+            for i in range(before, at + 1):
+                self.out[i - self.base][2 if rises else 3] = float(was + step * (i - before))
+
+    def _settled(self) -> list[tuple]:
+        """Rows before the last points of both sides and before the open leg can change no more."""
+        if not self.legs:
+            return []
+        return self._given(min(self.legs[-1][0], *(at for at, _ in self.last.values())) - self.base)
+
+    def _given(self, n: int) -> list[tuple]:
+        if n <= 0:
+            return []
+        made = [tuple(x) for x in self.out[:n]]
+        self.base += n
+        del self.rows[:n], self.out[:n]
+        return made
 
 
 @operator("ZIGZAG", "Zig Zag", TRANSFORM, [Param("end_type", "close", kind="EndType"), Param("percent_change", 5.0, 1.0, 200.0, kind="double")], outputs=["zig_zag", "point_type", "retrace_high", "retrace_low"], value="zig_zag", needs="bars", tier="whole", styles=["series"], check=lambda end_type, percent_change: need(percent_change > 0 and bool(end_type_of(end_type)), "percent_change > 0"), repaints=True)
 def zig_zag(s: Stage, end_type: str, percent_change: float) -> Stage:
-    """Swings of a whole series: a line runs back to its last turning point, so the series is read at once."""
+    """Swings of a series, read as a stream of which the rows since the last turning points are held."""
     by_range = end_type_of(end_type) == "high_low"
     added = T._parse_datatype_string("zig_zag double, point_type string, retrace_high double, retrace_low double").fields
     types = [pa.float64(), pa.string(), pa.float64(), pa.float64()]
 
-    def run(table):
-        rows = table.select(HLC).to_pydict()
-        made = zigzag_rows(rows["high"] if by_range else rows["close"], rows["low"] if by_range else rows["close"], rows["close"], percent_change)
-        for k, (f, t) in enumerate(zip(added, types, strict=True)):
-            table = table.append_column(f.name, pa.array([m[k] for m in made], t))
-        return table
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        swings, held = Swings(exact(percent_change) / 100), None
+
+        def given(made: list[tuple], table: pa.Table) -> Iterator[pa.RecordBatch]:
+            if made:
+                ready = table.slice(0, len(made))
+                for k, (f, t) in enumerate(zip(added, types, strict=True)):
+                    ready = ready.append_column(f.name, pa.array([m[k] for m in made], t))
+                yield from ready.combine_chunks().to_batches()
+
+        for batch in batches:
+            at = batch.schema.get_field_index
+            high, low, close = (batch.column(at(x)).to_pylist() for x in (HLC if by_range else ["close"] * 3))
+            made = [m for row in zip(high, low, close, strict=True) for m in swings.push(*row)]
+            own = pa.Table.from_batches([batch])
+            held = own if held is None else pa.concat_tables([held, own])
+            yield from given(made, held)
+            held = held.slice(len(made))
+        if held is not None:
+            yield from given(swings.finish(), held)
 
     schema = T.StructType([*s.df.schema.fields, *added])
     return Stage(s.df.groupBy(s.key).applyInArrow(run, schema), s.key, s.ts, s.x)

@@ -185,7 +185,7 @@ def _trend(s: Stage, point: str, name: str, longest: int, up: str, down: str) ->
     """Lines between a point and the next one, if that is near and not equal."""
     p = F.col(point)
     s = s.add(_at=F.when(p.isNotNull(), s.i))
-    following = s.rows(1, Window.unboundedFollowing)
+    following = s.rows(1, longest)  # no line goes further
     s = s.add(
         _a=F.last(p, ignorenulls=True).over(s.past),
         _ai=F.last("_at", ignorenulls=True).over(s.past),
@@ -270,7 +270,7 @@ def parabolic_sar(s: Stage, acceleration_step: float, max_acceleration_factor: f
 @operator("VOL-STOP", "Volatility Stop", STOPS, [periods(7, 1, 50), Param("multiplier", 3.0, 0.1, 10.0, kind="double")], outputs=["sar", "is_stop", "upper_band", "lower_band"], value="sar", needs="bars", tier="fold", check=_multiple, warmup=lambda n, p: max(100, n), repaints=True)
 def volatility_stop(s: Stage, lookback_periods: int, multiplier: float) -> Stage:
     s = s.fold(HLC, {"_sar": "double", "_stop": "boolean", "_upper": "double", "_lower": "double"}, lambda: K.volatility_stop(lookback_periods, multiplier)).ready()
-    hit = F.col("_stop").cast("int")
     # what comes up to the first stop is masked, but nothing if there is no stop at all
-    shown = (F.coalesce(F.max(hit).over(s.rows(Window.unboundedPreceding, -1)), F.lit(0)) == 1) | (F.coalesce(F.max(hit).over(s.all), F.lit(0)) == 0)
+    s = s.summed(_until=F.min(F.when(F.col("_stop"), F.col("_i"))))
+    shown = F.col("_until").isNull() | (s.i > F.col("_until"))
     return s.add(sar=F.when(shown, F.col("_sar")), is_stop=F.when(shown, F.col("_stop")), upper_band=F.when(shown, F.col("_upper")), lower_band=F.when(shown, F.col("_lower")))

@@ -223,6 +223,34 @@ def hurst_sql(n: int = 100) -> str:
     return query.give(hurst_exponent=slope([f"log10({r})" for r in names]), hurst_exponent_al=slope([f"log10({r} + {e!r})" for r, e in zip(names, corrected, strict=True)]))
 
 
+def zig_zag_sql(percent: int = 5) -> str:
+    """Turning points one after the other, each found by looking at all rows after the one before; by close, exact to nine places."""
+    return f"""WITH RECURSIVE {BARS},
+c AS MATERIALIZED (SELECT series_key, i, n_rows, close::DECIMAL(18, 9) AS c, first_value(close::DECIMAL(18, 9)) OVER (PARTITION BY series_key ORDER BY i) AS c0 FROM b),
+f AS (SELECT series_key, arg_min(CASE WHEN c > c0 THEN 'L' ELSE 'H' END, i) AS kind FROM c WHERE abs(c - c0) * 100 >= c0 * {percent} GROUP BY series_key),
+p AS (SELECT c.series_key, 0::BIGINT AS pt, c.c AS v, coalesce(f.kind, 'U') AS kind, n_rows FROM c LEFT JOIN f USING (series_key) WHERE i = 0
+  UNION ALL SELECT series_key, CASE WHEN any_value(brk) IS NULL THEN any_value(n_rows) - 1 ELSE coalesce(max(CASE WHEN c = best THEN i END), any_value(pt)) END, CASE WHEN any_value(brk) IS NULL THEN arg_max(c, i) ELSE arg_max(best, i) END,
+    CASE WHEN any_value(brk) IS NULL THEN NULL WHEN any_value(kind) = 'L' THEN 'H' ELSE 'L' END, any_value(n_rows)
+  FROM (SELECT *, min(CASE WHEN abs(best - c) * 100 >= best * {percent} AND c <> best THEN i END) OVER (PARTITION BY series_key) AS brk
+    FROM (SELECT p.series_key, p.pt, p.kind, p.n_rows, c.i, c.c, CASE WHEN p.kind = 'L' THEN greatest(p.v, max(c.c) OVER w) ELSE least(p.v, min(c.c) OVER w) END AS best
+      FROM p JOIN c ON c.series_key = p.series_key AND c.i > p.pt WHERE p.kind IS NOT NULL WINDOW w AS (PARTITION BY p.series_key ORDER BY c.i)))
+  WHERE brk IS NULL OR i <= brk GROUP BY series_key),
+l AS MATERIALIZED (SELECT series_key, pt, v::DOUBLE AS v, kind, lag(pt) OVER w AS a0, (lag(v) OVER w)::DOUBLE AS v0, lag(kind) OVER w AS way FROM p WINDOW w AS (PARTITION BY series_key ORDER BY pt, kind NULLS LAST)),
+z AS (SELECT c.series_key, c.i, max(v0 + (v - v0) / (pt - a0) * (c.i - a0)) AS z, max(CASE WHEN c.i = pt THEN kind END) AS kind FROM l JOIN c ON c.series_key = l.series_key AND c.i > a0 AND c.i <= pt AND (a0 > 0 OR c.i = pt) WHERE pt > a0 GROUP BY ALL),
+e AS (SELECT series_key, way, pt, v, lag(pt) OVER w AS a0, lag(v) OVER w AS v0 FROM l WHERE way IN ('L', 'H') WINDOW w AS (PARTITION BY series_key, way ORDER BY pt)),
+t AS (SELECT c.series_key, c.i, max(CASE WHEN way = 'L' THEN v0 + (v - v0) / (pt - a0) * (c.i - a0) END) AS rh, max(CASE WHEN way = 'H' THEN v0 + (v - v0) / (pt - a0) * (c.i - a0) END) AS rl FROM e JOIN c ON c.series_key = e.series_key AND c.i BETWEEN a0 AND pt WHERE a0 > 0 AND pt > a0 GROUP BY ALL)
+SELECT b.series_key, b.ts, round(z.z + {NUDGE}, {DIGITS}) + 0.0 AS zig_zag, z.kind AS point_type, round(t.rh + {NUDGE}, {DIGITS}) + 0.0 AS retrace_high, round(t.rl + {NUDGE}, {DIGITS}) + 0.0 AS retrace_low
+FROM b LEFT JOIN z ON z.series_key = b.series_key AND z.i = b.i LEFT JOIN t ON t.series_key = b.series_key AND t.i = b.i"""
+
+
+def pivots_by(number: str, kind: str, query: Query) -> str:
+    """Levels of each calendar window, from the window before; woodie takes its own open."""
+    pp = query.let(w=number).let(nw=f"CASE WHEN w <> {lag('w')} THEN 1 ELSE 0 END").let(win=f"sum(nw) {over()}").let(own="first_value(open) OVER (PARTITION BY series_key, win ORDER BY i)")
+    pp.parts.append(f"g AS MATERIALIZED (SELECT series_key, win + 1 AS win, max(high) AS gh, min(low) AS gl, arg_max(close, i) AS gc FROM {pp.t} GROUP BY ALL)")
+    pp.t = pp._new(f"SELECT t.*, gh, gl, gc FROM {pp.t} t LEFT JOIN g USING (series_key, win)")
+    return pp.give(**levels(kind, "own", "gh", "gl", "gc"))
+
+
 def oracles() -> dict[str, str]:
     o: dict[str, str] = {}
     # moving averages
@@ -311,10 +339,12 @@ def oracles() -> dict[str, str]:
     o["ichimoku"] = q().let(t=mid(9), k=mid(26), b2=mid(52, 26)).let(m="(t + k) / 2").give(tenkan_sen="t", kijun_sen="k", senkou_span_a=f"CASE WHEN i >= 51 THEN {lag('m', 26)} END", senkou_span_b="b2", chikou_span="lead(close, 26) OVER (PARTITION BY series_key ORDER BY i)")
     m = q().smooth("f1", "close", 12).smooth("f2", "close", 26).let(m="f1 - f2").smooth("g", "m", 9, first=33)
     o["macd"] = m.give(macd="m", signal="g", histogram="m - g", fast_ema="f1", slow_ema="f2")
-    pp = q().let(w="day(ts)").let(nw=f"CASE WHEN w <> {lag('w')} THEN 1 ELSE 0 END").let(win=f"sum(nw) {over()}")
-    pp.parts.append(f"g AS MATERIALIZED (SELECT series_key, win + 1 AS win, max(high) AS gh, min(low) AS gl, arg_max(close, i) AS gc FROM {pp.t} GROUP BY ALL)")
-    pp.t = pp._new(f"SELECT t.*, gh, gl, gc FROM {pp.t} t LEFT JOIN g USING (series_key, win)")
-    o["pivot_points"] = pp.give(**levels("standard", "open", "gh", "gl", "gc"))
+    days = """b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY ts) - 1 AS i FROM (SELECT l_returnflag AS series_key, l_shipdate AS ts, arg_min(p, k) AS open, max(p) AS high, min(p) AS low, arg_max(p, k) AS close
+  FROM (SELECT *, l_extendedprice / l_quantity AS p, (l_orderkey, l_linenumber) AS k FROM lineitem) GROUP BY l_returnflag, l_shipdate))"""
+    o["pivot_points"] = pivots_by("day(ts)", "standard", q())
+    o["pivot_points_hour"] = pivots_by("hour(ts)", "standard", q())
+    o["pivot_points_week"] = pivots_by("floor((dayofyear(ts) - 1 + dayofweek(date_trunc('year', ts))) / 7) + 1", "standard", Query(days))
+    o["pivot_points_month"] = pivots_by("month(ts)", "woodie", Query(days))
     rp = q().let(gh=f"CASE WHEN i >= 20 THEN max(high) {over(20, 1)} END", gl=f"min(low) {over(20, 1)}", gc=lag("close"))
     o["rolling_pivots"] = rp.keep("true").let(ok="i >= 20").give(**{k: f"CASE WHEN ok THEN {e} END" for k, e in levels("woodie", "open", "gh", "gl", "gc").items()})
     o["roc_wb"] = q().let(p=lag("close", 20)).let(r=f"100 * {ratio('close - p', 'p')}").let(r2="r * r").smooth("e", "r", 5, first=5).let(bd=f"CASE WHEN i >= 5 THEN sqrt({mean('r2', 5)}) END").give(roc="r", roc_ema="e", upper_band="bd", lower_band="-bd")
@@ -393,9 +423,11 @@ def oracles() -> dict[str, str]:
     h = hilbert().fold(sd=("0", "CASE WHEN s.i <= 5 THEN 0 ELSE 0.33 * s.st.pd + 0.67 * r.sd END")).let(dc="least(floor(sd + 0.5)::INT, i + 1)", pl=f"list(hl2) {last(64)}").let(it="CASE WHEN i <= 5 THEN 0 WHEN dc > 0 THEN list_avg(pl[-dc:]) ELSE hl2 END")
     o["ht_trendline"] = h.give(("dc_periods",), dc_periods="CASE WHEN i > 5 AND dc > 0 THEN dc END", trendline=f"CASE WHEN i >= 11 THEN (4 * it + 3 * {lag('it')} + 2 * {lag('it', 2)} + {lag('it', 3)}) / 10 ELSE hl2 END", smooth_price="CASE WHEN i > 5 THEN st.sm[7] END")
     o["hurst"] = hurst_sql()
+    o["zig_zag"] = zig_zag_sql()
     o["renko"] = bricks(q(), "10", "round_even(close, 0)")
     o["renko_atr"] = bricks(q().atr(14).let(z="last_value(atr) OVER (PARTITION BY series_key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"), "s.z", "close")
-    o["bollinger_bands_in_parts"] = o["bollinger_bands"]
+    for name in ("bollinger_bands", "stoch", "slope", "fractal"):
+        o[f"{name}_in_parts"] = o[name]
     # chains and preparation
     o["chain_hl2_ema_rsi"] = rsi(q().smooth("e", "hl2", 10), "a", "e", 14).give(rsi="a")
     m = q().smooth("e", "close", 20)
@@ -406,6 +438,17 @@ def oracles() -> dict[str, str]:
     o["gaps_filled"] = f"""WITH {BARS}, h AS (SELECT series_key, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM b GROUP BY series_key),
 f AS (SELECT h.series_key, h.ts, open, high, low, close, volume, last_value(close IGNORE NULLS) OVER (PARTITION BY h.series_key ORDER BY h.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM h LEFT JOIN b ON b.series_key = h.series_key AND b.ts = h.ts)
 SELECT series_key, ts, coalesce(open, c) AS open, coalesce(high, c) AS high, coalesce(low, c) AS low, c AS close, coalesce(volume, 0) AS volume FROM f"""
+    o["ticks_once"] = o["stream_corrected_ticks"] = o["bars_hour"]
+    o["stream_resampled"] = f"""WITH {BARS}, x AS MATERIALIZED (SELECT series_key, time_bucket(INTERVAL 4 HOURS, ts, TIMESTAMP '2024-01-01') AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM b GROUP BY 1, 2),
+h AS (SELECT series_key, unnest(generate_series(min(ts), max(ts), INTERVAL 4 HOURS)) AS ts FROM x GROUP BY series_key),
+f AS (SELECT h.series_key, h.ts, open, high, low, close, volume, last_value(close IGNORE NULLS) OVER (PARTITION BY h.series_key ORDER BY h.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM h LEFT JOIN x ON x.series_key = h.series_key AND x.ts = h.ts)
+SELECT series_key, ts, coalesce(open, c) AS open, coalesce(high, c) AS high, coalesce(low, c) AS low, c AS close, coalesce(volume, 0) AS volume FROM f"""
+    o["stream_ema"], o["live_sma"], o["live_obv"] = o["ema"], o["sma"], o["obv"]
+    o["found"] = q().let(m=mean("close", 20)).keep("ts = TIMESTAMP '2024-01-15 10:00:00'").give(sma="m")
+    o["after_100_rows"] = q().smooth("e", "close", 20).keep("i >= 100").give(ema="e")
+    o["live_removed_range"] = Query(BARS.replace("FROM bars)", "FROM bars WHERE NOT (series_key = 'click' AND ts BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-12 05:00:00'))")).let(m=mean("close", 20)).give(sma="m")
+    both = Query(BARS).let(a="high", b2="close").let(aa="a * a", bb="b2 * b2", ab="a * b2").let(va=f"{mean('aa', 20)} - power({mean('a', 20)}, 2)", vb=f"{mean('bb', 20)} - power({mean('b2', 20)}, 2)", c=f"{mean('ab', 20)} - {mean('a', 20)} * {mean('b2', 20)}").let(k="CASE WHEN va * vb > 0 THEN c / sqrt(va * vb) END")
+    o["strict_pair"] = both.give(variance_a="va", variance_b="vb", covariance="c", correlation="k", r_squared="k * k")
     parts = {"hl2": "(high + low) / 2", "hlc3": "(high + low + close) / 3", "oc2": "(open + close) / 2", "ohl3": "(open + high + low) / 3", "ohlc4": "(open + high + low + close) / 4"}
     o["bar_parts"] = q().give(**parts)
     o["candles"] = q().give(("is_bullish", "is_bearish"), size="high - low", body="abs(open - close)", upper_wick="high - greatest(open, close)", lower_wick="least(open, close) - low", body_pct="CASE WHEN high = low THEN 1 ELSE abs(open - close) / (high - low) END", upper_wick_pct="CASE WHEN high = low THEN 1 ELSE (high - greatest(open, close)) / (high - low) END", lower_wick_pct="CASE WHEN high = low THEN 1 ELSE (least(open, close) - low) / (high - low) END", is_bullish="close > open", is_bearish="close < open")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -11,8 +13,8 @@ from pyspark.sql import types as T
 
 from ..sources import bars as B
 from .oracles import DIGITS, ITEM_DIGITS, NUDGE
-from .series import PARTS, Series, pair
-from .split import indicator_in_parts
+from .series import PARTS, Series, pair, paired
+from .split import indicator_in_parts, shared_folder
 
 #: Query name -> (operator, parameters).
 CALLS: dict[str, tuple[str, dict[str, Any]]] = {
@@ -71,15 +73,95 @@ def _call(id: str, params: dict[str, Any]) -> Callable[[SparkSession, str], Data
     return lambda spark, sf_dir: rounded(hourly(spark, sf_dir).indicator(id, **params).df)
 
 
+def click_and_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly closes of two event types side by side: one aggregate, no join."""
+    ticks = events(spark, sf_dir).filter(F.col("series_key").isin("click", "view"))
+    of = lambda x: F.max_by(F.when(F.col("series_key") == x, F.col("price").cast("double")), F.when(F.col("series_key") == x, F.struct("ts", "event_id")))
+    both = ticks.groupBy(F.lit("click").alias("series_key"), B.bucket(F.col("ts"), "1h").alias("ts")).agg(of("click").alias("value_a"), of("view").alias("value_b"))
+    return both.filter(F.col("value_a").isNotNull() & F.col("value_b").isNotNull())
+
+
 def _pair(id: str, params: dict[str, Any]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: rounded(paired(id, click_and_view(spark, sf_dir), **params).df)
+
+
+def _joined_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highs against closes of the same bars: every row has its partner."""
+    bars = hourly(spark, sf_dir)
+    return rounded(pair("CORR", bars.use("high"), bars.use("close"), strict=True).df)
+
+
+def _ticks_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of ticks of which every third comes twice."""
+    ticks = events(spark, sf_dir).withColumn("execution_id", F.col("event_id").cast("string"))
+    return B.ticks_to_bars(ticks.union(ticks.filter(F.col("event_id") % 3 == 0)), "1h", execution_id="execution_id", order=["event_id"]).df
+
+
+# ---------------------------------------------------------------- streams
+
+#: The range of click bars that one query removes.
+REMOVED = ("2024-01-10 06:00:00", "2024-01-12 05:00:00")
+
+
+def _batches(bars: DataFrame, n: int = 3) -> list[DataFrame]:
+    """All rows, dealt out by time: each batch but the first brings late ones."""
+    return [bars.filter(F.pmod(F.hash("ts"), F.lit(n)) == k) for k in range(n)]
+
+
+def _drained(spark: SparkSession, parts: list[DataFrame], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The parts as batches of a stream, and of each result the last that came; removed ones are left out."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    query = make(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.parquet(f"{folder}/out").drop("batch")
+    names = [c for c in out.columns if c not in ("series_key", "ts", "kind", "_batch")]
+    last = out.groupBy("series_key", "ts").agg(F.max_by(F.struct("kind", *names), "_batch").alias("r")).filter("r.kind <> 'delete'")
+    return last.select("series_key", F.col("ts").cast("timestamp_ntz").alias("ts"), *(F.col(f"r.{c}").alias(c) for c in names))
+
+
+def _live(operate: Callable[[Series], Series], change: Callable[[Any], None] | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        bars = hourly(spark, sf_dir)
-        one, two = (Series(bars.df.filter(F.col("series_key") == x).withColumn("series_key", F.lit("click"))) for x in ("click", "view"))
-        return rounded(pair(id, one, two, **params).df)
+        from ..streaming.live import Live
+
+        folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+        for part in _batches(hourly(spark, sf_dir).df):
+            Live(spark, operate, folder).push(part)  # each batch by an object of its own, as after a restart
+        if change:
+            change(Live(spark, operate, folder))
+        return rounded(Live(spark, operate, folder).results())
 
     return run
 
 
+def _stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.stateful import stream_operator
+
+    return rounded(_drained(spark, _batches(hourly(spark, sf_dir).df), lambda s: stream_operator(s, "EMA", 20)))
+
+
+def _stream_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.ticks import stream_resample
+
+    return _drained(spark, _batches(hourly(spark, sf_dir).df), lambda s: stream_resample(s, "4h", fill_gaps=True))
+
+
+def _stream_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of which each tenth first comes with a wrong price."""
+    from ..streaming.ticks import stream_ticks
+
+    ticks = events(spark, sf_dir).withColumn("execution_id", F.col("event_id").cast("string")).drop("event_id")
+    wrong = F.col("execution_id").cast("long") % 10 == 0
+    first = ticks.withColumn("price", F.when(wrong, F.col("price") + 1000).otherwise(F.col("price")))
+    return _drained(spark, [first, ticks.filter(wrong)], lambda s: stream_ticks(s, "1h"))
+
+
 def several(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four operators in one pass."""
     wanted = {"fast": ("SMA", {"lookback_periods": 20}), "slow": ("EMA", {"lookback_periods": 20}), "strength": ("RSI", {}), "range": ("ATR", {})}
@@ -109,6 +191,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "settled": _of(lambda b: rounded(b.ema(20).drop_warmup().df)),
         "latest": _of(lambda b: rounded(b.sma(20).latest())),
         "duplicate_times": lambda spark, d: B.problems(Series(events(spark, d).withColumn("ts", F.date_trunc("minute", "ts").cast("timestamp_ntz")))),
+        "strict_pair": _joined_pair,
+        "ticks_once": _ticks_once,
+        "found": _of(lambda b: rounded(b.sma(20).find("2024-01-15 10:00:00"))),
+        "after_100_rows": _of(lambda b: rounded(b.ema(20).drop_warmup(100).df)),
+        "pivot_points_hour": _of(lambda b: rounded(b.pivot_points("hour").df)),
+        "pivot_points_week": lambda spark, d: rounded(daily_items(spark, d).pivot_points("week").df),
+        "pivot_points_month": lambda spark, d: rounded(daily_items(spark, d).pivot_points("month", "woodie").df),
+        "stoch_in_parts": _of(lambda b: rounded(indicator_in_parts(b, "STOCH", rows=150).df)),
+        "slope_in_parts": _of(lambda b: rounded(indicator_in_parts(b, "SLOPE", rows=170).df)),
+        "fractal_in_parts": _of(lambda b: rounded(indicator_in_parts(b, "FRACTAL", rows=130).df)),
+        "stream_ema": _stream_ema,
+        "stream_resampled": _stream_resampled,
+        "stream_corrected_ticks": _stream_corrected,
+        "live_sma": _live(lambda b: b.sma(20)),
+        "live_obv": _live(lambda b: b.obv()),
+        "live_removed_range": _live(lambda b: b.sma(20), lambda live: live.remove_range("click", *(dt.datetime.fromisoformat(x) for x in REMOVED))),
         "items_several": items_several,
         "items_super_trend": lambda spark, d: rounded(item_prices(spark, d).supertrend().df, ITEM_DIGITS),
         "daily_items_macd": lambda spark, d: rounded(daily_items(spark, d).macd().df),

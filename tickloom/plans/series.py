@@ -184,15 +184,19 @@ def pair(id: str, a: Series, b: Series, *args: Any, strict: bool = False, **para
 
     strict: every row of one must have a partner in the other, else this is an error.
     """
-    bound = Bound.of(id, *args, **params)
-    need(bound.operator.tier == "pair", f"{id} takes one series")
     one, two = (x.df.select(F.col(x.key).alias("series_key"), F.col(x.ts).alias("ts"), (part("close") if x.is_bars else F.expr(x.value)).cast("double").alias(name)) for x, name in ((a, "value_a"), (b, "value_b")))
-    both = one.join(two, ["series_key", "ts"])
     if strict:
         apart = one.join(two, ["series_key", "ts"], "left_anti").select("ts").union(two.join(one, ["series_key", "ts"], "left_anti").select("ts"))
         need(apart.isEmpty(), "the two series have different times")
+    return paired(id, one.join(two, ["series_key", "ts"]), *args, **params)
+
+
+def paired(id: str, both: DataFrame, *args: Any, **params: Any) -> Series:
+    """Results of an operator on two series that stand side by side already: series_key, ts, value_a, value_b."""
+    bound = Bound.of(id, *args, **params)
+    need(bound.operator.tier == "pair", f"{id} takes one series")
     done = bound.operator.build(Stage(numbered(both), x="value_a"), **bound.params).ready()
-    return Series(done.df.select("series_key", "ts", *bound.operator.outputs), value=bound.operator.value, made_by=bound)
+    return Series(done.df.select("series_key", "ts", *bound.operator.outputs), value=bound.operator.value, made_by=bound, chain=(bound,))
 
 
 def null_as_nan(name: str) -> Column:

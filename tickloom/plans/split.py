@@ -25,6 +25,7 @@ from .stage import Stage
 BOUNDED = {
     "SMA", "WMA", "HMA", "ALMA", "EPMA", "VWMA", "BB", "DONCHIAN", "AWESOME", "BOP", "CCI", "CHOP", "CMO", "DPO", "ROC", "STOCH", "UO", "WILLR",
     "AROON", "ICHIMOKU", "ROLLING-PIVOTS", "VORTEX", "CMF", "MFI", "TR", "STDEV", "SMA-ANALYSIS", "ULCER", "DOJI", "MARUBOZU", "BARPART",
+    "FRACTAL", "SLOPE",
 }
 
 
@@ -40,20 +41,36 @@ def is_bounded(bound: Bound) -> bool:
     return bound.operator.id in BOUNDED and bound.params.get("moving_average_type", "SMA") == "SMA"
 
 
+def is_local(bound: Bound) -> bool:
+    """Whether results are the same for the rows around them alone, numbered anew: an intercept counts from the first row of all."""
+    return is_bounded(bound) and bound.operator.id != "SLOPE"
+
+
 def longest_frame(bound: Bound) -> int:
     """Rows that a stream must keep, at least, for one result."""
     return max((abs(v) for v in bound.params.values() if isinstance(v, int) and not isinstance(v, bool)), default=1)
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; a temporary one where all runs on one machine and none is named."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named:
+        need(context.master.startswith("local"), "spark.checkpoint.dir must name a folder that the cluster shares")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="tickloom-")
+            atexit.register(shutil.rmtree, _OWN[context.applicationId], True)
+        named = _OWN[context.applicationId]
+    return named.rstrip("/")
+
+
 def _table(df: DataFrame) -> DataFrame:
     """df as a table in the folder that the cluster shares, read again."""
     spark: SparkSession = df.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:  # tests on one machine
-        need(spark.sparkContext.master.startswith("local"), "spark.checkpoint.dir must name a folder that the cluster shares")
-        shared = tempfile.mkdtemp(prefix="tickloom-")
-        atexit.register(shutil.rmtree, shared, True)
-    path = f"{shared.rstrip('/')}/split-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/split-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

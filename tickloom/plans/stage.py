@@ -57,9 +57,9 @@ class Stage:
     def past(self) -> Any:
         return self.rows(Window.unboundedPreceding, 0)
 
-    @property
-    def all(self) -> Any:
-        return self.rows(Window.unboundedPreceding, Window.unboundedFollowing)
+    def has(self, n: int) -> Column:
+        """Whether n more rows follow."""
+        return F.lead("_i", n).over(self.order).isNotNull()
 
     @property
     def i(self) -> Column:
@@ -98,6 +98,11 @@ class Stage:
         """Add columns; those of pending folds can be read after ready() only."""
         return replace(self, df=self.df.withColumns(columns))
 
+    def summed(self, **columns: Column) -> Stage:
+        """Add aggregates over each whole series: one row for each, joined on the partitioning that there is."""
+        whole = self.df.groupBy(F.col(self.key).alias("_of")).agg(*(c.alias(k) for k, c in columns.items()))
+        return replace(self, df=self.df.join(whole, F.col(self.key).eqNullSafe(F.col("_of")), "left").drop("_of"))
+
     def give(self, **columns: Column) -> Stage:
         """Add results: NaN becomes null."""
         return self.add(**{k: clean(c) for k, c in columns.items()})
@@ -119,8 +124,23 @@ def numbered(df: DataFrame, key: str = "series_key", ts: str = "ts") -> DataFram
 def _run(step: Callable, arrays: list[np.ndarray], first: int, n: int) -> list:
     """Outputs of one kernel for n rows of a series from row `first` on, as arrays or lists."""
     many = getattr(step, "many", None)
-    if many and n > 1 and not any(np.isnan(x).any() for x in arrays):
+    if not many or n == 1:
+        return _one_by_one(step, arrays, first)
+    missing = np.zeros(n, bool)
+    for x in arrays:
+        missing |= np.isnan(x)
+    if not missing.any():
         return list(many(first, *arrays))
+    # runs of rows without a missing value are taken at once, what lies between one by one
+    cuts = [0, *(np.flatnonzero(missing[1:] != missing[:-1]) + 1).tolist(), n]
+    parts = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        own = [x[a:b] for x in arrays]
+        parts.append(_one_by_one(step, own, first + a) if missing[a] or b - a == 1 else list(many(first + a, *own)))
+    return [np.concatenate([np.asarray(p[k], dtype=None if isinstance(p[k], np.ndarray) else object) for p in parts]).tolist() for k in range(len(parts[0]))]
+
+
+def _one_by_one(step: Callable, arrays: list[np.ndarray], first: int) -> list:
     made = [step(first + k, *row) for k, row in enumerate(zip(*(x.tolist() for x in arrays), strict=True))]
     return [list(x) for x in zip(*made, strict=True)]
 

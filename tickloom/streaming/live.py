@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.series import OHLCV, Series
 from ..plans.spec import need
-from ..plans.split import is_bounded, longest_frame, reach
+from ..plans.split import is_local, longest_frame, reach
 
 BAR = "series_key string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
 CHANGES = f"{BAR}, op string, _batch long, _no long"
@@ -55,7 +55,7 @@ class Live:
         chain = self.operate(Series(self.spark.createDataFrame([], BAR))).chain
         least = sum(longest_frame(b) for b in chain)
         need(self.max_cache >= least, f"max_cache must be at least {least}, which one result depends on")
-        bounded = bool(chain) and all(is_bounded(b) for b in chain)
+        bounded = bool(chain) and all(is_local(b) for b in chain)
         #: Rows before and after that a result depends on; None: all of them.
         self.reach = tuple(sum(x) for x in zip(*(reach(b) for b in chain), strict=True)) if bounded else None
 
