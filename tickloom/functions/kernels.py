@@ -163,8 +163,33 @@ class Cascade:
         return out, start
 
 
+def by_rows(step: Callable[..., tuple], i: int, arrays: tuple, until: int, width: int) -> tuple[np.ndarray, int]:
+    """(outputs, rows) of the rows before row `until`, one by one; the other outputs are still to be filled."""
+    n = len(arrays[0])
+    head = min(max(until - i, 0), n)
+    out = np.full((width, n), NAN)
+    for k, row in enumerate(zip(*(x[:head].tolist() for x in arrays), strict=True)):
+        out[:, k] = [NAN if v is None else v for v in step(i + k, *row)]
+    return out, head
+
+
+def unclean(values: deque) -> int:
+    """Rows after which a window holds no missing value that it holds now."""
+    return max((k + 1 for k, v in enumerate(values) if v != v), default=0) + (values.maxlen or 0) - len(values)
+
+
+def moving(before: deque, x: np.ndarray, n: int) -> np.ndarray:
+    """Windows of n values that end at each of x, whose first ones reach back into the values before."""
+    whole = np.concatenate((np.array(list(before)[len(before) - n + 1 :] if n > 1 else [], float), x))
+    return np.lib.stride_tricks.sliding_window_view(whole, n)
+
+
+def true_ranges(high: np.ndarray, low: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return np.maximum(high - low, np.maximum(np.abs(high - before), np.abs(low - before)))
+
+
 def true_range(high: float, low: float, before: float) -> float:
-    return max(high - low, abs(high - before), abs(low - before))
+    return max(high - low, abs(high - before), abs(low - before)) if before == before else NAN
 
 
 # ---------------------------------------------------------------- moving averages
@@ -274,7 +299,24 @@ def dynamic(n: int, k_factor: float) -> Step:
         state[:] = [x, now]
         return (now,)
 
-    return step
+    def many(i: int, x: np.ndarray) -> tuple:
+        last, result = state
+        out, share = [], k_factor * n
+        for v in x.tolist():
+            base = last if result != result else result
+            result = NAN
+            if i and base == base and base:
+                ratio = v / base
+                ratio *= ratio
+                ratio *= ratio
+                if ratio:
+                    result = base + (v - base) / (share * ratio)
+            last, i = v, i + 1
+            out.append(result)
+        state[:] = [last, result]
+        return (np.array(out),)
+
+    return with_many(step, many)
 
 
 def kama(er_periods: int, fast_periods: int, slow_periods: int) -> Step:
@@ -301,7 +343,26 @@ def kama(er_periods: int, fast_periods: int, slow_periods: int) -> Step:
         state[0] = before + share * (x - before)
         return ratio, state[0]
 
-    return step
+    def many(i: int, x: np.ndarray) -> tuple:
+        n = er_periods
+        out, head = by_rows(step, i, (x,), max(n + 1, i + unclean(values.values) + (state[0] != state[0])), 2)
+        rest = x[head:]
+        if len(rest):
+            v = moving(values.values, rest, n + 1)
+            change, path = np.abs(v[:, -1] - v[:, 0]), np.abs(np.diff(v, axis=1)).sum(axis=1)
+            values.push_many(rest)
+            with np.errstate(all="ignore"):
+                ratio = np.where(path == 0, 0.0, change / path)
+            shares = np.where(path == 0, 1.0, (ratio * (fast - slow) + slow) ** 2)  # where nothing moves the average is the price
+            now, made = state[0], []
+            for y, share in zip(rest.tolist(), shares.tolist(), strict=True):
+                now = y if share == 1.0 or now != now else now + share * (y - now)
+                made.append(now)
+            state[0] = now
+            out[:, head:] = ratio, made
+        return tuple(out)
+
+    return with_many(step, many)
 
 
 class _Hilbert:
@@ -485,7 +546,31 @@ def connors_rsi(rsi_periods: int, streak_periods: int, rank_periods: int) -> Ste
             whole = (strength + of_run + rank) / 3
         return streak, strength, of_run if i >= streak_periods + 2 else NAN, rank, whole
 
-    return step
+    settled = max(rsi_periods, streak_periods, rank_periods) + 2
+
+    def many(i: int, x: np.ndarray) -> tuple:
+        out, head = by_rows(step, i, (x,), settled, 5)
+        if head < len(x) and not (state[0] == state[0] and state[1] == state[1]):
+            return tuple(by_rows(step, i + head, (x[head:],), i + len(x), 5)[0]) if not head else tuple(np.concatenate((out[:, :head], by_rows(step, i + head, (x[head:],), i + len(x), 5)[0]), axis=1))
+        rest = x[head:]
+        if len(rest):
+            before = np.concatenate(([state[0]], rest[:-1]))
+            streak, runs = state[1], []
+            for way in np.sign(rest - before).tolist():
+                streak = 0.0 if way == 0 else streak + way if streak * way >= 0 else way
+                runs.append(streak)
+            with np.errstate(all="ignore"):
+                gain = np.where(before > 0, (rest - before) / before, NAN)
+            window = moving(gains.values, gain, rank_periods + 1)
+            below = (window < gain[:, None]).sum(axis=1)
+            rank = np.where(np.isnan(window).any(axis=1), NAN, 100 * below // rank_periods)
+            gains.push_many(gain)
+            state[:] = [float(rest[-1]), streak]
+            strength, of_run = price.push_many(i + head, rest), run.push_many(i + head, np.array(runs))
+            out[:, head:] = runs, strength, of_run, rank, (strength + of_run + rank) / 3
+        return tuple(out)
+
+    return with_many(step, many)
 
 
 def macd(fast: int, slow: int, signal: int) -> Step:
@@ -591,6 +676,14 @@ class Plain:
         self.value = x if self.value != self.value else self.value + self.k * (x - self.value)
         return self.value
 
+    def push_many(self, x: np.ndarray) -> np.ndarray:
+        if np.isnan(x).any():
+            return np.array([self.push(v) for v in x.tolist()])
+        last = float(x[0]) if self.value != self.value else self.value
+        out = scan(x, 1 - self.k, self.k, last)
+        self.value = float(out[-1])
+        return out
+
 
 def smi(lookback: int, first: int, second: int, signal: int) -> Step:
     highs, lows = Recent(lookback), Recent(lookback)
@@ -607,7 +700,20 @@ def smi(lookback: int, first: int, second: int, signal: int) -> Step:
         value = 100 * (a / (0.5 * b)) if b else NAN
         return value, line.push(value)
 
-    return step
+    def many(i: int, high: np.ndarray, low: np.ndarray, close: np.ndarray) -> tuple:
+        out, head = by_rows(step, i, (high, low, close), max(lookback - 1, i + max(unclean(highs.values), unclean(lows.values))), 2)
+        if head < len(high):
+            top, bottom = moving(highs.values, high[head:], lookback).max(axis=1), moving(lows.values, low[head:], lookback).min(axis=1)
+            highs.push_many(high[head:])
+            lows.push_many(low[head:])
+            a = a2.push_many(a1.push_many(close[head:] - 0.5 * (top + bottom)))
+            b = b2.push_many(b1.push_many(top - bottom))
+            with np.errstate(all="ignore"):
+                value = np.where(b != 0, 100 * (a / (0.5 * b)), NAN)
+            out[:, head:] = value, line.push_many(value)
+        return tuple(out)
+
+    return with_many(step, many)
 
 
 def stoch_smoothed(k_smooth: int, d_smooth: int, k_factor: float, d_factor: float) -> Step:
@@ -634,7 +740,23 @@ def stoch_smoothed(k_smooth: int, d_smooth: int, k_factor: float, d_factor: floa
         state[:] = [k, d]
         return k, d, k_factor * k - d_factor * d
 
-    return step
+    def many(i: int, raw: np.ndarray) -> tuple:
+        head = 0
+        out = np.full((3, len(raw)), NAN)
+        while head < len(raw) and not (state[0] == state[0] and state[1] == state[1]):
+            out[:, head] = step(i + head, float(raw[head]))
+            head += 1
+        rest = raw[head:]
+        if len(rest):
+            k = rest if k_smooth == 1 else scan(rest, 1 - 1 / k_smooth, 1 / k_smooth, state[0])
+            d = k if d_smooth == 1 else scan(k, 1 - 1 / d_smooth, 1 / d_smooth, state[1])
+            raws.push_many(rest)
+            lines.push_many(k)
+            state[:] = [float(k[-1]), float(d[-1])]
+            out[:, head:] = k, d, k_factor * k - d_factor * d
+        return tuple(out)
+
+    return with_many(step, many)
 
 
 def fisher(lookback: int) -> Step:
@@ -653,7 +775,26 @@ def fisher(lookback: int) -> Step:
         state[:] = [t, now]
         return now, before
 
-    return step
+    def many(i: int, x: np.ndarray) -> tuple:
+        out, head = by_rows(step, i, (x,), max(lookback, i + unclean(values)), 2)
+        rest = x[head:]
+        if len(rest):
+            window = moving(values, rest, lookback)
+            low, high = window.min(axis=1), window.max(axis=1)
+            values.extend(rest[-lookback:].tolist())
+            with np.errstate(all="ignore"):
+                place = np.where(high != low, 0.66 * ((rest - low) / (high - low) - 0.5), NAN)
+            t, made = state[0], []
+            for p in place.tolist():
+                t = p + 0.67 * t if p == p else 0.0
+                t = 0.999 if t > 0.99 else -0.999 if t < -0.99 else t
+                made.append(t)
+            line = scan(np.arctanh(np.array(made)), 0.5, 1.0, state[1])
+            out[:, head:] = line, np.concatenate(([state[1]], line[:-1]))
+            state[:] = [t, float(line[-1])]
+        return tuple(out)
+
+    return with_many(step, many)
 
 
 # ---------------------------------------------------------------- ranges and trends
@@ -733,7 +874,31 @@ def adx(n: int) -> Step:
         results[-1] = value
         return plus, minus, dx, value, rating
 
-    return step
+    def many(i: int, high: np.ndarray, low: np.ndarray, close: np.ndarray) -> tuple:
+        out, head = by_rows(step, i, (high, low, close), 3 * n, 5)
+        h, lo, c = high[head:], low[head:], close[head:]
+        if not len(h):
+            return tuple(out)
+        before = [np.concatenate(([state[x]], y[:-1])) for x, y in (("high", h), ("low", lo), ("close", c))]
+        up, down = h - before[0], before[1] - lo
+        now = (true_ranges(h, lo, before[2]), np.where(up > down, np.maximum(up, 0.0), 0.0), np.where(down > up, np.maximum(down, 0.0), 0.0))
+        s = [scan(b, 1 - 1 / n, 1.0, a) for a, b in zip(smooth, now, strict=True)]
+        if not (np.array(smooth) == np.array(smooth)).all() or not (s[0] > 0).all() or state["adx"] != state["adx"]:
+            rest, _ = by_rows(step, i + head, (h, lo, c), i + len(high), 5)
+            out[:, head:] = rest
+            return tuple(out)
+        plus, minus = 100 * s[1] / s[0], 100 * s[2] / s[0]
+        with np.errstate(all="ignore"):
+            dx = np.where(plus == minus, 0.0, 100 * np.abs(plus - minus) / (plus + minus))
+        value = scan(dx, 1 - 1 / n, 1 / n, state["adx"])
+        earlier = np.concatenate((np.array(list(results)[-n:]), value))[: len(value)]
+        results.extend(value[-(n + 1) :].tolist())
+        smooth[:] = [float(x[-1]) for x in s]
+        state.update(high=float(h[-1]), low=float(lo[-1]), close=float(c[-1]), adx=float(value[-1]))
+        out[:, head:] = plus, minus, dx, value, (value + earlier) / 2
+        return tuple(out)
+
+    return with_many(step, many)
 
 
 def alligator(spans: tuple[tuple[int, int], ...]) -> Step:
@@ -747,7 +912,18 @@ def alligator(spans: tuple[tuple[int, int], ...]) -> Step:
             out.append(wilder.push(i, late[0]) if len(late) == shift + 1 else NAN)
         return tuple(out)
 
-    return step
+    def many(i: int, x: np.ndarray) -> tuple:
+        out = np.full((len(lines), len(x)), NAN)
+        for k, (wilder, late, shift) in enumerate(lines):
+            held = list(late)[-shift:] if shift else []
+            head = shift - len(held)  # rows until there is one so far back
+            whole = np.concatenate((np.array(held, float), x))
+            late.extend(x[-(shift + 1) :].tolist())
+            if head < len(x):
+                out[k, head:] = wilder.push_many(i + head, whole[: len(x) - head])
+        return tuple(out)
+
+    return with_many(step, many)
 
 
 def atr_stop(n: int, multiplier: float, high_low: bool) -> Step:
@@ -771,7 +947,28 @@ def atr_stop(n: int, multiplier: float, high_low: bool) -> Step:
         stop = state["lower"] if state["bull"] else state["upper"]
         return stop, NAN if state["bull"] else stop, stop if state["bull"] else NAN, range_
 
-    return step
+    def many(i: int, high: np.ndarray, low: np.ndarray, close: np.ndarray) -> tuple:
+        out, head = by_rows(step, i, (high, low, close), n + 1, 4)
+        h, lo, c = high[head:], low[head:], close[head:]
+        if len(h):
+            _, range_ = a.push_many(i + head, h, lo, c)
+            before, bull, upper, lower = (state[x] for x in ("close", "bull", "upper", "lower"))
+            stops, ways = [], []
+            for top, bottom, x in zip(((h if high_low else c) + multiplier * range_).tolist(), ((lo if high_low else c) - multiplier * range_).tolist(), c.tolist(), strict=True):
+                if top < upper or before > upper:
+                    upper = top
+                if bottom > lower or before < lower:
+                    lower = bottom
+                bull = not x <= (lower if bull else upper)
+                before = x
+                stops.append(lower if bull else upper)
+                ways.append(bull)
+            state.update(close=before, bull=bull, upper=upper, lower=lower)
+            stop, up = np.array(stops), np.array(ways)
+            out[:, head:] = stop, np.where(up, NAN, stop), np.where(up, stop, NAN), range_
+        return tuple(out)
+
+    return with_many(step, many)
 
 
 def super_trend(n: int, multiplier: float) -> Step:
@@ -796,7 +993,28 @@ def super_trend(n: int, multiplier: float) -> Step:
             return state["lower"], NAN, state["lower"]
         return state["upper"], state["upper"], NAN
 
-    return step
+    def many(i: int, high: np.ndarray, low: np.ndarray, close: np.ndarray) -> tuple:
+        out, head = by_rows(step, i, (high, low, close), n + 1, 3)
+        h, lo, c = high[head:], low[head:], close[head:]
+        if len(h):
+            _, range_ = a.push_many(i + head, h, lo, c)
+            before, bull, upper, lower = (state[x] for x in ("close", "bull", "upper", "lower"))
+            mid, stops, ways = (h + lo) / 2, [], []
+            for top, bottom, x in zip((mid + multiplier * range_).tolist(), (mid - multiplier * range_).tolist(), c.tolist(), strict=True):
+                if top < upper or before > upper:
+                    upper = top
+                if bottom > lower or before < lower:
+                    lower = bottom
+                bull = not x <= (lower if bull else upper)
+                before = x
+                stops.append(lower if bull else upper)
+                ways.append(bull)
+            state.update(close=before, bull=bull, upper=upper, lower=lower)
+            stop, up = np.array(stops), np.array(ways)
+            out[:, head:] = stop, np.where(up, NAN, stop), np.where(up, stop, NAN)
+        return tuple(out)
+
+    return with_many(step, many)
 
 
 def parabolic_sar(step_size: float, most: float, initial: float) -> Step:
@@ -826,7 +1044,39 @@ def parabolic_sar(step_size: float, most: float, initial: float) -> Step:
         highs.append(high)
         return stop, turned
 
-    return step
+    def many(i: int, high: np.ndarray, low: np.ndarray) -> tuple:
+        out, head = by_rows(step, i, (high, low), 2, 2)
+        stops, turns = out[0, :head].tolist(), [None if i + k == 0 else bool(out[1, k]) for k in range(head)]
+        if head < len(high):
+            rising, factor, extreme, stop = (s[x] for x in ("rising", "factor", "extreme", "stop"))
+            (l2, l1), (h2, h1) = lows, highs
+            for hi, lo in zip(high[head:].tolist(), low[head:].tolist(), strict=True):
+                stop += factor * (extreme - stop)
+                if rising:
+                    stop = min(stop, l2, l1)
+                    turned = lo < stop
+                    if turned:
+                        stop, extreme = extreme, lo
+                    elif hi > extreme:
+                        extreme, factor = hi, min(factor + step_size, most)
+                else:
+                    stop = max(stop, h2, h1)
+                    turned = hi > stop
+                    if turned:
+                        stop, extreme = extreme, hi
+                    elif lo < extreme:
+                        extreme, factor = lo, min(factor + step_size, most)
+                if turned:
+                    rising, factor = not rising, initial
+                l2, l1, h2, h1 = l1, lo, h1, hi
+                stops.append(stop)
+                turns.append(turned)
+            s.update(rising=rising, factor=factor, extreme=extreme, stop=stop)
+            lows.extend((l2, l1))
+            highs.extend((h2, h1))
+        return np.array(stops), turns
+
+    return with_many(step, many)
 
 
 def volatility_stop(n: int, multiplier: float) -> Step:
@@ -852,7 +1102,29 @@ def volatility_stop(n: int, multiplier: float) -> Step:
             s["long"] = not up
         return stop, hit, NAN if up else stop, stop if up else NAN
 
-    return step
+    def many(i: int, high: np.ndarray, low: np.ndarray, close: np.ndarray) -> tuple:
+        out, head = by_rows(step, i, (high, low, close), n + 1, 4)
+        hits = [None if i + k < n else bool(out[1, k]) for k in range(head)]
+        h, lo, c = high[head:], low[head:], close[head:]
+        if len(h):
+            _, range_ = a.push_many(i + head, h, lo, c)
+            width = multiplier * np.concatenate(([s["range"]], range_[:-1]))
+            up, peak, stops, ways = s["long"], s["peak"], [], []
+            for x, w in zip(c.tolist(), width.tolist(), strict=True):
+                stop = peak - w if up else peak + w
+                hit = x < stop if up else x > stop
+                stops.append(stop)
+                ways.append(up)
+                hits.append(hit)
+                peak = x if hit else max(peak, x) if up else min(peak, x)
+                if hit:
+                    up = not up
+            s.update(long=up, peak=peak, range=float(range_[-1]))
+            stop, was_up = np.array(stops), np.array(ways)
+            out[0, head:], out[2, head:], out[3, head:] = stop, np.where(was_up, NAN, stop), np.where(was_up, stop, NAN)
+        return out[0], hits, out[2], out[3]
+
+    return with_many(step, many)
 
 
 def heikin_ashi() -> Step:
@@ -862,9 +1134,19 @@ def heikin_ashi() -> Step:
         c = (open_ + high + low + close) / 4
         o = (open_ + close) / 2 if i == 0 else (state[0] + state[1]) / 2
         state[:] = [o, c]
-        return o, max(high, o, c), min(low, o, c), c, volume
+        known = o == o and c == c
+        return o, max(high, o, c) if known else NAN, min(low, o, c) if known else NAN, c, volume
+
+    def many(i: int, open_: np.ndarray, high: np.ndarray, low: np.ndarray, close: np.ndarray, volume: np.ndarray) -> tuple:
+        out, head = by_rows(step, i, (open_, high, low, close, volume), 1, 5)
+        if head < len(high):
+            c = (open_[head:] + high[head:] + low[head:] + close[head:]) / 4
+            o = scan(np.concatenate(([state[1]], c[:-1])), 0.5, 0.5, state[0])
+            state[:] = [float(o[-1]), float(c[-1])]
+            out[:, head:] = o, np.maximum(high[head:], np.maximum(o, c)), np.minimum(low[head:], np.minimum(o, c)), c, volume[head:]
+        return tuple(out)
 
-    return step
+    return with_many(step, many)
 
 
 # ---------------------------------------------------------------- volume
@@ -912,7 +1194,30 @@ def kvo(fast: int, slow: int, signal: int) -> Step:
             return NAN, NAN
         return k, line.push(i, k)
 
-    return step
+    def many(i: int, high: np.ndarray, low: np.ndarray, close: np.ndarray, volume: np.ndarray) -> tuple:
+        out, head = by_rows(step, i, (high, low, close, volume), slow + 1, 2)
+        if head < len(high):
+            basis, span = (high + low + close)[head:], (high - low)[head:]
+            up = basis > np.concatenate(([z["basis"]], basis[:-1]))
+            trend, before, total, force, made = z["trend"], z["range"], z["sum"], z["force"], []
+            for rises, r, v in zip(up.tolist(), span.tolist(), volume[head:].tolist(), strict=True):
+                way = 1 if rises else -1
+                total = (total if way == trend else before) + r
+                trend, before = way, r
+                if r == total or v == 0:
+                    force = 0.0
+                elif r == 0:
+                    force = v * 2 * way * 100
+                elif total != 0:
+                    force = v * abs(2 * (r / total - 1)) * way * 100
+                made.append(force)
+            z.update(basis=float(basis[-1]), trend=trend, range=before, sum=total, force=force)
+            forces = np.array(made)
+            k = f.push_many(i + head, forces) - s.push_many(i + head, forces)
+            out[:, head:] = k, line.push_many(i + head, k)
+        return tuple(out)
+
+    return with_many(step, many)
 
 
 def averages(fast: int, slow: int) -> Step:
