@@ -19,6 +19,8 @@ from .common import mixed, over_batches, pieces, span_hashes, table, text_bytes
 
 #: Rows of each language that the probabilities are learned from, those of the smallest hash, and rows in all.
 FIT_ROWS, FIT_ALL = 150, 20_000
+#: Letters of the longest word that is learned from; predictions take words of any length.
+FIT_LETTERS = 40
 #: Rounds of expectation and maximisation; characters of the vocabulary's longest piece.
 ROUNDS, LONGEST = 3, 16
 #: A word of more characters goes through the forward algorithm in parts of so many.
@@ -304,9 +306,9 @@ def training_words(docs: DataFrame, rows: int = FIT_ROWS, most: int = FIT_ALL) -
     """(lang, word, occurrences) over `rows` labelled rows of each language, those whose doc_id has the smallest hash."""
     # Spark keeps the first `rows` of each task before it moves any, so a frequent language is no burden
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.filter(F.col("lang").isNotNull()).select("lang", "doc_id").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= rows).orderBy("_k", "lang").limit(most).select("doc_id", "lang")
+    chosen = docs.filter(F.col("lang").isNotNull()).select("lang", "doc_id").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= rows).orderBy("_k", "lang", "doc_id").limit(most).select("doc_id", "lang")
     texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])  # `most` rows at most
-    words = texts.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{Mn}\p{Mc}]+")).alias("w")).filter(F.length("w").between(1, 40))
+    words = texts.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{Mn}\p{Mc}]+")).alias("w")).filter(F.length("w").between(1, FIT_LETTERS))
     return [(r.lang, r.w, r.n) for r in words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).collect()]
 
 
