@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -106,10 +107,18 @@ def over_batches(df: DataFrame, run, schema) -> DataFrame:
             yield from run(batches)
         finally:  # the worker goes on to other tasks
             pa.default_memory_pool().release_unused()
+            trimmed()
 
     return df.mapInArrow(released, schema)
 
 
+def trimmed() -> None:
+    """Give back what the C library keeps of freed arrays, where it can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -174,7 +183,7 @@ def _kept_powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 #: Bytes (or values) whose prefix sums are held at once.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
