@@ -21,7 +21,7 @@ WINDOW = 10
 #: Bytes of test texts that go to the executors at once; a larger set goes in blocks, one after the other.
 BLOCK_BYTES = 16 << 20
 #: Bytes of text of a shard, at most, but for longer texts.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes of matches of earlier blocks up to which they go to every task.
 BROADCAST_BYTES = 16 << 20
 #: Stands for a null doc_id.
