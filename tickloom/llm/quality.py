@@ -25,6 +25,8 @@ COMMON = {
     "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por", "con", "no", "su", "una", "para", "es", "al", "lo", "como", "más", "pero", "sus"],
 }
 EVERY = sorted({w for words in COMMON.values() for w in words})
+#: No longer word needs a look.
+MOST_LETTERS = max(map(len, EVERY))
 #: Character classes and the bin of the histogram that each counts for: small letters, white space, capitals, digits,
 #: punctuation, symbols, other letters and marks; what is left over is the last bin. Each class leaves less text for the next.
 CLASSES = [("[a-z]+", 0), ("[\\x20\\x09-\\x0D]+", 1), ("[A-Z]+", 2), ("[0-9]+", 3), ("[.,;:!?'\"()-]+", 4), ("[#*$%&|<>]+", 5), ("\\p{Ll}+", 0), ("[\\p{Lu}\\p{Lt}]+", 2), ("[\\p{Lo}\\p{Lm}\\p{M}]+", 6)]
@@ -68,7 +70,7 @@ def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     df = df.withColumn(bits, F.ceil(F.log2(n + 2)).cast("int"))
     df = df.withColumn(windows, F.when(n >= 3, F.sort_array(F.slice(hashed, F.lit(1), F.greatest(n - 2, F.lit(0))))))
     df = df.withColumn(lines, F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    df = df.withColumn(hits, F.transform(F.filter(words, lambda x: F.lower(x).isin(*EVERY)), F.lower))
+    df = df.withColumn(hits, F.transform(F.filter(words, lambda x: (F.length(x) <= MOST_LETTERS) & F.lower(x).isin(*EVERY)), F.lower))
     chosen = F.array(*map(F.lit, EVERY))
     for lang, own in COMMON.items():
         chosen = F.when(F.col("lang") == lang, F.array(*map(F.lit, own))).otherwise(chosen)
