@@ -15,7 +15,7 @@ MAX_CLASSES, MAX_COMMON = 0.30, 0.92
 #: A histogram of fewer characters or words than this says nothing of a text.
 LEAST_CHARS, LEAST_WORDS = 200, 50
 #: Largest lack of common words, 1 for a text without any, and how many common words a text must be expected to have for it.
-MAX_LACK, LEAST_COMMON = 0.5, 5
+MAX_LACK, LEAST_COMMON = 0.6, 5
 
 # Common words, in lower case, whose shares make the second histogram; any other language takes them all.
 COMMON = {
@@ -70,11 +70,14 @@ def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     df = df.withColumn(bits, F.ceil(F.log2(n + 2)).cast("int"))
     df = df.withColumn(windows, F.when(n >= 3, F.sort_array(F.slice(hashed, F.lit(1), F.greatest(n - 2, F.lit(0))))))
     df = df.withColumn(lines, F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    df = df.withColumn(hits, F.transform(F.filter(words, lambda x: (F.length(x) <= MOST_LETTERS) & F.lower(x).isin(*EVERY)), F.lower))
+    # the common words of a text as one string, |of||the|, in which one search counts each
+    found = F.filter(words, lambda x: (F.length(x) <= MOST_LETTERS) & F.lower(x).isin(*EVERY))
+    df = df.withColumn(hits, F.concat(F.lit("|"), F.lower(F.array_join(found, "||")), F.lit("|")))
     chosen = F.array(*map(F.lit, EVERY))
     for lang, own in COMMON.items():
         chosen = F.when(F.col("lang") == lang, F.array(*map(F.lit, own))).otherwise(chosen)
-    df = df.withColumn(counts, F.transform(chosen, lambda c: F.size(hits) - F.size(F.array_remove(hits, c))))
+    of = lambda c: (F.octet_length(F.col(hits)) - F.octet_length(F.replace(F.col(hits), F.concat(F.lit("|"), c, F.lit("|")), F.lit("")))) / (F.octet_length(c) + 2)
+    df = df.withColumn(counts, F.transform(chosen, lambda c: of(c).cast("int")))
     total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
     return df.select(
         *columns,
@@ -83,18 +86,24 @@ def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
         bins[5][0].cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when(n >= 3, _repeated(F.col(words), F.col(windows), F.col(bits))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
+        sizes[0].alias("_chars"),
         classes.alias("_classes"),
         F.concat(counts, F.array(n - total)).alias("_common"),
     )
 
 
 def distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance (base 2) of two histograms of one length, each with a positive sum."""
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    """Jensen-Shannon distance (base 2) of two lists of shares of one length."""
+    part = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
+    terms = F.zip_with(p, q, lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
+    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, v: a + v), F.lit(0.0)) / 2)
+
+
+def of_two(p: Column, q: Column) -> Column:
+    """The same for shares p and 1 - p against q and 1 - q."""
     part = lambda a, m: F.when(a > 0, a * F.log2(F.try_divide(a, m))).otherwise(F.lit(0.0))
-    share = lambda x: F.transform(x, lambda v: F.try_divide(v, total(x)))
-    terms = F.zip_with(share(p), share(q), lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
-    return F.sqrt(F.greatest(total(terms), F.lit(0.0)) / 2)
+    terms = [part(a, (a + b) / 2) for a, b in ((p, q), (q, p), (1 - p, 1 - q), (1 - q, 1 - p))]
+    return F.sqrt(F.greatest(sum(terms[1:], terms[0]), F.lit(0.0)) / 2)
 
 
 #: Languages, those with the most rows, whose references go to all tasks.
@@ -115,27 +124,6 @@ def _with_reference(rows: DataFrame, reference: DataFrame) -> DataFrame:
 
 HISTOGRAMS = {"_classes": BINS, "_common": len(EVERY) + 1}
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance", "common_lack"]
-_total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-
-
-def scaled(common: Column, reference: Column) -> Column:
-    """Distance of two common-word histograms, as a share of that of a text that has only other words."""
-    none = F.transform(reference, lambda v, i: F.when(i == F.size(reference) - 1, 1.0).otherwise(0.0))
-    return F.try_divide(distance(common, reference), distance(none, reference))
-
-
-def lack(common: Column, reference: Column) -> Column:
-    """Distance of the shares of common and other words from the language's, scaled by that of a text without common words.
-
-    It does not depend on how many words of a language are common. 0 where the share is no
-    smaller than the language's; null where too few common words are to be expected.
-    """
-    two = lambda x: F.array(_total(x) - F.element_at(x, -1), F.element_at(x, -1))
-    share = lambda x: F.try_divide(_total(x) - F.element_at(x, -1), _total(x))
-    far = F.try_divide(distance(two(common), two(reference)), distance(F.array(F.lit(0.0), F.lit(1.0)), two(reference)))
-    return F.when(_total(common) * share(reference) >= LEAST_COMMON, F.when(share(common) < share(reference), far).otherwise(F.lit(0.0)))
-
-
 def judge(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """docs, or the named columns of it (lang among them), with ADDED columns: the counts, the distances and whether the rules keep the row.
 
@@ -148,22 +136,30 @@ def judge(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     own = docs.drop(*ADDED)
     columns = columns or own.columns
     # helper columns have names that no column of docs has
-    hidden = dict(zip(("_classes", "_common", "_lang", "_rows", "_frequent", "_is"), unused(own, "_classes", "_common", "_lang", "_rows", "_frequent", "_is"), strict=True))
-    away = {k: f"{v}_own" for k, v in hidden.items() if k in own.columns}
+    used = ("_classes", "_common", "_chars", "_lang", "_rows", "_frequent", "_is", "_of_classes", "_of_common", "_none", "_share")
+    away = {c: x for c, x in zip(used, unused(own, *used), strict=True) if c != x}
     own = own.withColumnsRenamed(away)
     rows = staged(measured(own, [away.get(c, c) for c in columns]), "quality")
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
-    double = lambda x: F.transform(x, lambda v: v.cast("double"))
     sums = [F.sum(F.get(name, F.lit(k)).cast("double")).alias(f"{name}{k}") for name, n in HISTOGRAMS.items() for k in range(n)]
-    reference = rows.filter(~F.col("base_failed")).groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"), *sums)
+    reference = rows.filter(~F.col("base_failed")).groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"), F.sum("_chars").alias("_chars"), F.sum("n_words").alias("_words"), *sums)
     # of a known language the list is shorter: what was never there is no part of it
-    reference = reference.select(F.col("lang").alias("_lang"), "_rows", *(F.filter(F.array(*(F.col(f"{name}{k}") for k in range(n))), lambda x: x.isNotNull()).alias(f"_of{name}") for name, n in HISTOGRAMS.items()))
+    bins = lambda name: F.filter(F.array(*(F.col(f"{name}{k}") for k in range(HISTOGRAMS[name]))), lambda x: x.isNotNull())
+    shares = {"_classes": F.transform(bins("_classes"), lambda x: x / F.col("_chars")), "_common": F.transform(bins("_common"), lambda x: x / F.col("_words"))}
+    reference = reference.select(F.col("lang").alias("_lang"), "_rows", *(c.alias(f"_of{name}") for name, c in shares.items()))
+    # a text that has only other words, and the share of common ones
+    none = F.transform("_of_common", lambda v, k: F.when(k == F.size("_of_common") - 1, 1.0).otherwise(0.0))
+    reference = reference.withColumns({"_none": distance(none, F.col("_of_common")), "_share": 1 - F.element_at("_of_common", -1)})
     joined = _with_reference(rows, staged(reference, "languages"))
+    share = 1 - F.try_divide(F.element_at("_common", -1), F.col("n_words"))
+    missing = F.when(share < F.col("_share"), F.try_divide(of_two(share, F.col("_share")), of_two(F.lit(0.0), F.col("_share")))).otherwise(F.lit(0.0))
     joined = joined.withColumns(
         {
-            "class_distance": F.when(F.col("word_chars") >= LEAST_CHARS, distance(double(F.col("_classes")), F.col("_of_classes"))),
-            "common_distance": F.when(F.col("n_words") >= LEAST_WORDS, scaled(double(F.col("_common")), F.col("_of_common"))),
-            "common_lack": F.when(F.col("n_words") >= LEAST_WORDS, lack(double(F.col("_common")), F.col("_of_common"))),
+            "class_distance": F.when(F.col("word_chars") >= LEAST_CHARS, distance(F.transform("_classes", lambda v: v / F.col("_chars")), F.col("_of_classes"))),
+            # as a share of the distance of a text that has only other words
+            "common_distance": F.when(F.col("n_words") >= LEAST_WORDS, F.try_divide(distance(F.transform("_common", lambda v: v / F.col("n_words")), F.col("_of_common")), F.col("_none"))),
+            # how far the share of common words falls short, as a share of a text's without any; where some are to be expected
+            "common_lack": F.when((F.col("n_words") >= LEAST_WORDS) & (F.col("n_words") * F.col("_share") >= LEAST_COMMON), missing),
         }
     )
     near = F.lit(True)
