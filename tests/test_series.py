@@ -355,3 +355,27 @@ def test_own_operator(spark, bars):
         assert column(bars.test_spread(2.0).sma(1), "sma") == pytest.approx([2 * (r[3] - r[4]) for r in walk(150)])
     finally:
         del REGISTRY["TEST-SPREAD"]
+
+
+def test_text_of_some_rows(bars):
+    text = B.shown(bars.sma(3), rows=2, start=1, where="sma is not null", formats={"sma": ".1f", "ts": "%Y"})
+    lines = text.splitlines()
+    assert lines[0].split() == ["i", "series_key", "ts", "sma"] and len(lines) == 1 + 2 * bars.df.select("series_key").distinct().count()
+    assert all(len(x.split()[-1].split(".")[1]) == 1 and x.split()[2].isdigit() for x in lines[1:])
+    row = bars.sma(3).df.filter("sma is not null").first()
+    assert B.shown_row(row, formats={"sma": ".2f"}).splitlines()[-1].split() == ["sma", f"{row.sma:.2f}"]
+
+
+def test_interval_codes_and_ids():
+    assert B.code_of(3600) == "1h" and B.code_of(0) == "1mo" and B.try_seconds_of("5min") == 300 and B.try_seconds_of("x") is None
+    with pytest.raises(ValueError):
+        B.code_of(7)
+    from tickloom.plans.spec import operator
+
+    with pytest.raises(ValueError):
+        operator("MY OWN", "x", "y")
+
+
+def test_rows_in_order(bars):
+    made = [(r.series_key, r.ts) for r in bars.sma(3).in_order().collect()]
+    assert made == sorted(made)

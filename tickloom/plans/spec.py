@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -54,9 +55,16 @@ class Operator:
 REGISTRY: dict[str, Operator] = {}
 
 
+def need(ok: bool, message: str) -> None:
+    if not ok:
+        raise ValueError(message)
+
+
 def operator(id: str, name: str, category: str, params: list[Param] | None = None, **rest: Any) -> Callable:
     """Register the decorated build function under an id."""
 
+    need(re.fullmatch(r"[A-Za-z0-9._-]+", id) is not None, f"an id has letters, digits and . _ - only, not {id!r}")
+
     def put(build: Callable) -> Callable:
         REGISTRY[id] = Operator(id=id, name=name, category=category, params=tuple(params or ()), build=build, **{k: tuple(v) if k in ("outputs", "styles") else v for k, v in rest.items()})
         return build
@@ -64,11 +72,6 @@ def operator(id: str, name: str, category: str, params: list[Param] | None = Non
     return put
 
 
-def need(ok: bool, message: str) -> None:
-    if not ok:
-        raise ValueError(message)
-
-
 @dataclass
 class Bound:
     """An operator with its parameters, checked."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.series import OHLCV, Series, numbered
@@ -31,6 +31,21 @@ def seconds_of(interval: str | int | float) -> int:
     return INTERVALS[code]
 
 
+def try_seconds_of(interval: str | int | float) -> int | None:
+    """Seconds of a code or number, None for what is neither."""
+    try:
+        return seconds_of(interval)
+    except ValueError:
+        return None
+
+
+def code_of(seconds: int | float) -> str:
+    """The code of an interval of so many seconds; 0 is a month."""
+    found = next((code for code, n in INTERVALS.items() if n == seconds), None)
+    need(found is not None, f"no code for {seconds} seconds")
+    return found
+
+
 def bucket(ts: Column, interval: str | int | float) -> Column:
     """Start of the bucket that holds ts; weeks start on Monday."""
     seconds = seconds_of(interval)
@@ -112,10 +127,34 @@ def to_candles(bars: Series) -> DataFrame:
     return bars.df.withColumns(candle_columns())
 
 
-def shown(series: Series, rows: int = 20, digits: int = 4) -> str:
-    """The first rows as text with an index for each series."""
-    df = numbered(series.df, series.key, series.ts).filter(F.col("_i") < rows).orderBy(series.key, series.ts)
+def shown(series: Series | DataFrame, rows: int = 20, digits: int = 4, start: int = 0, where: Column | str | None = None, formats: Mapping[str, str] | None = None) -> str:
+    """Rows of each series as text with their index: `rows` of them from row `start` on, of those that `where` keeps.
+
+    formats: for a column, or a Spark type such as double, how Python formats its values, as
+    ".2f" or "%Y-%m-%d"; "unset" leaves them as they are.
+    """
+    series = series if isinstance(series, Series) else Series(series)
+    kinds = dict(series.df.dtypes)
+    df = numbered(series.df, series.key, series.ts)
+    df = df if where is None else df.filter(where)
+    place = F.row_number().over(Window.partitionBy(series.key).orderBy(series.ts)) - 1
+    df = df.withColumn("_place", place).filter((F.col("_place") >= start) & (F.col("_place") < start + rows)).orderBy(series.key, series.ts)
     names = ["i", *series.df.columns]
-    table = [[str(r["_i"]), *("" if r[c] is None else f"{r[c]:.{digits}f}" if isinstance(r[c], float) else str(r[c]) for c in series.df.columns)] for r in df.limit(rows * 50).collect()]
+    table = [[str(r["_i"]), *(_formatted(r[c], (formats or {}).get(c, (formats or {}).get(kinds[c])), digits) for c in series.df.columns)] for r in df.limit(rows * 50).collect()]
     wide = [max(len(x) for x in c) for c in zip(names, *table, strict=True)]
     return "\n".join("  ".join(x.rjust(w) for x, w in zip(row, wide, strict=True)) for row in [names, *table])
+
+
+def shown_row(row: Row | Mapping, digits: int = 4, formats: Mapping[str, str] | None = None) -> str:
+    """One row as text, a line for each of its values."""
+    values = row.asDict() if isinstance(row, Row) else dict(row)
+    wide = max((len(x) for x in values), default=0)
+    return "\n".join(f"{x.rjust(wide)}  {_formatted(v, (formats or {}).get(x), digits)}" for x, v in values.items())
+
+
+def _formatted(value, how: str | None, digits: int) -> str:
+    if value is None:
+        return ""
+    if how is None or how.lower() == "unset":
+        return f"{value:.{digits}f}" if isinstance(value, float) and how is None else str(value)
+    return format(value, how)
