@@ -177,13 +177,13 @@ _POWERS: dict = {}
 def _kept_powers(base: np.uint64, n: int) -> np.ndarray:
     have = _POWERS.get(int(base))
     if have is None or len(have) < n:
-        have = powers(base, max(n, 1 << 20))
+        have = powers(base, max(n, 1 << 18))
         _POWERS[int(base)] = have
     return have[:n]
 
 
 #: Bytes (or values) whose prefix sums are held at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, over_batches, pieces, span_hashes, staged, table, text_bytes, text_or_empty, unused, words_of
+from .common import mixed, over_batches, pieces, span_hashes, staged, table, text_bytes, text_or_empty, trimmed, unused, words_of
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -33,7 +33,7 @@ ROUNDS = 24
 BROADCAST_BYTES = 16 << 20
 #: Documents, or shingles, of a group that one task counts; larger groups are dealt as pairs of blocks.
 #: A group of n documents has the square root of n blocks at most, so that copies of rows stay in bounds.
-BLOCK_DOCS, BLOCK_SHINGLES = 250, 3_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 250, 1_000_000
 #: Signatures of a trie node that one task compares; larger nodes are dealt in the same way.
 NODE_DOCS = 5_000
 #: Stands for a null doc_id.
@@ -261,6 +261,9 @@ def _verify(similarity: float):
                     label[found] = root
                     queue += found.tolist()
         some = links > 0
+        del sets, common, linked
+        if len(ids) > BLOCK_DOCS // 2:  # a large group: its arrays go back at once
+            trimmed()
         return pa.table({"cid": pa.array(ids[some], pa.int64()), "links": pa.array(links[some].astype(np.int64), pa.int64()), "label": pa.array(ids[label[some]], pa.int64()), "split": pa.array([first >= 0] * int(some.sum()), pa.bool_())})
 
     return run
