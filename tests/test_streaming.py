@@ -259,3 +259,50 @@ def test_streamed_ticks_with_corrections(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(x[:5] for x in seen.values()) == sorted([(5.0, 9.0, 5.0, 9.0, 4.0), (9.0, 9.0, 9.0, 9.0, 0.0), (4.0, 4.0, 4.0, 4.0, 1.0)])
+
+
+def test_equal_times_go_by_the_order_columns(spark, tmp_path):
+    from tickloom.streaming.ticks import stream_ticks
+
+    schema = "series_key string, ts timestamp_ntz, price double, volume double, execution_id string, place long, name string"
+    late, big = START + dt.timedelta(minutes=1), 2**60
+    batches = [
+        [("a", START, 5.0, 1.0, "10", 10, "x"), ("a", START, 8.0, 1.0, "9", 9, "x"), ("a", late, 3.0, 1.0, "11", big + 1, "y"), ("a", late, 4.0, 1.0, "12", big, "y"), ("a", START, 6.0, 1.0, None, None, "x"), ("a", late, 2.0, 1.0, "13", big + 1, "b")],
+        [("a", START, 7.0, 1.0, "9", 9, "x"), ("a", late, 9.0, 1.0, "12", big, "y")],
+    ]
+    seen: dict = {}
+    for rows in batches:  # a new query each time, from the checkpoint
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        sink = lambda df, batch: seen.update({r.ts: tuple(r)[2:] for r in df.collect()})
+        q = stream_ticks(stream, "5m", order=["place", "name"], max_buckets=None).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "check")).foreachBatch(sink).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert list(seen.values()) == [(6.0, 9.0, 2.0, 3.0, 6.0, "upsert")]
+
+
+def test_a_kept_tick_costs_its_bytes():
+    import pickle
+
+    from tickloom.streaming.ticks import Buckets
+
+    n, step = 20_000, 60 * 1_000_000
+    held = Buckets()
+    rows = [((f"{k:07}",), k * 1_000_000, "upsert", (1.0, 3.0, 0.5, 2.0, 1.0)) for k in range(n)]
+    made = held.take(rows, step, False, 10_000)
+    assert len(made) == len(held.parts) == -(-n // 60)
+    assert len(pickle.dumps(held)) < 70 * n  # time, id, five numbers; 59 bytes and the bars
+    first = held.take([(("0000007",), 7_000_000, "upsert", (1.0, 9.0, 0.5, 2.0, 1.0))], step, False, 10_000)
+    assert first == [(0, "upsert", (1.0, 9.0, 0.5, 2.0, 60.0))]  # as old as it may be
+
+
+def test_corrected_ticks_of_many_old_bars(spark, tmp_path):
+    from tickloom.plans import queries
+
+    # 12,000 hours, 20 ticks at each time: more bars than a stream keeps unless told
+    hours, copies = 12_000, 20
+    k = F.col("id")
+    ticks = spark.range(hours * copies).select(k.alias("event_id"), F.lit("a").alias("event_type"), F.expr(f"timestamp_ntz '2024-01-01' + make_dt_interval(0, cast(id % {hours} as int))").alias("ts"), (k % 977).cast("double").alias("value"))
+    ticks.write.parquet(str(tmp_path / "in" / "events.parquet"))
+    got = queries._stream_corrected(spark, str(tmp_path / "in"))
+    want = queries.hourly(spark, str(tmp_path / "in")).df
+    assert rows_of(got) == rows_of(want) and got.count() == hours

@@ -111,15 +111,15 @@ def _batches(bars: DataFrame, n: int = 3) -> list[DataFrame]:
 def _drained(spark: SparkSession, parts: list[DataFrame], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The parts as batches of a stream, and of each result the last that came; removed ones are left out."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
     def keep(rows: DataFrame, batch: int) -> None:
         rows.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
 
-    query = make(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    for part in parts:  # all files of a part are one batch; the next part's query goes on from the checkpoint
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
+        query = make(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
     out = spark.read.parquet(f"{folder}/out").drop("batch")
     names = [c for c in out.columns if c not in ("series_key", "ts", "kind", "_batch")]
     last = out.groupBy("series_key", "ts").agg(F.max_by(F.struct("kind", *names), "_batch").alias("r")).filter("r.kind <> 'delete'")
@@ -156,10 +156,10 @@ def _stream_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks of which each tenth first comes with a wrong price."""
     from ..streaming.ticks import stream_ticks
 
-    ticks = events(spark, sf_dir).withColumn("execution_id", F.col("event_id").cast("string")).drop("event_id")
-    wrong = F.col("execution_id").cast("long") % 10 == 0
+    ticks = events(spark, sf_dir).withColumn("execution_id", F.col("event_id").cast("string"))
+    wrong = F.col("event_id") % 10 == 0
     first = ticks.withColumn("price", F.when(wrong, F.col("price") + 1000).otherwise(F.col("price")))
-    return _drained(spark, [first, ticks.filter(wrong)], lambda s: stream_ticks(s, "1h"))
+    return _drained(spark, [first, ticks.filter(wrong)], lambda s: stream_ticks(s, "1h", max_buckets=None, order=["event_id"]))
 
 
 def several(spark: SparkSession, sf_dir: str) -> DataFrame:
